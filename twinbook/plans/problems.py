@@ -33,7 +33,7 @@ def _minutes(spark: SparkSession, sf: str) -> LateMinutes:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _minutes(spark, sf).upserts.where("is_correction").groupBy("market_id", "minute_s").agg().select("market_id", "minute_s")
+    return _minutes(spark, sf).upserts.where("is_correction").select("market_id", "minute_s").distinct()
 
 
 def p2_minutes(spark: SparkSession, sf: str) -> DataFrame:
