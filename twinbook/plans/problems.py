@@ -9,6 +9,7 @@ from twinbook.operators.frames import is_valid_frame
 from twinbook.operators.instants import rewritten, with_instant
 from twinbook.operators.late_minutes import LateMinutes, first_deliveries, late_minutes
 from twinbook.operators.regular_grid import regular_grid
+from twinbook.operators.spikes import implausible_rows, reading_scores
 from twinbook.sources.tables import table
 
 
@@ -53,7 +54,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_grid(spark, sf).where("status <> 'observed'").select("stream_id", "minute_s")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_minutes": p2_minutes, "p2_dropped": p2_dropped, "p4_found": p4_found, "p4_grid": p4_grid}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return implausible_rows(table(spark, sf, "book_frames").where(is_valid_frame()))
+
+
+def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_scores(table(spark, sf, "book_frames").where(is_valid_frame()))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_minutes": p2_minutes, "p2_dropped": p2_dropped, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_scores": p5_scores}
 
 _VALID = "type IN ('snapshot', 'update') AND coalesce(is_valid, true)"
 SQL = {
