@@ -196,7 +196,7 @@ def _scores(jump_factor: float, longest: int, trees: int, least_score: float | N
 
 
 def reading_scores(
-    frames: DataFrame, jump_factor: float = 5.5, longest: int = 3, run_factor: float = 4.0, least_run: int = 12, trees: int = 24,
+    frames: DataFrame, jump_factor: float = 5.5, longest: int = 3, run_factor: float = 3.0, least_run: int = 22, trees: int = 24,
     least_score: float | None = None,
 ) -> DataFrame:
     """One row per plausible price (source, ``seq``, ``side`` 0 bid, 1 ask) with the forest's ``score`` and two verdicts.
