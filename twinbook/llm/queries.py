@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinbook.llm.encoding import decode_ids, encode_texts
 from twinbook.llm.mixture import Mixture, mix_sources
+from twinbook.llm.quality import judge_texts
 from twinbook.sources.tables import table
 
 
@@ -31,5 +32,13 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).shares
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_texts(table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_quality(spark, sf).where("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_quality": p8_quality}
 SQL = {"p6_roundtrip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars FROM documents"}
