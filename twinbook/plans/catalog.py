@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from twinbook.plans import problems
+from twinbook.plans import market_queries, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **market_queries.QUERIES}
+SQL = {**problems.SQL, **market_queries.SQL}
 FLAGSHIP = "p4_found"
