@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Words that say nothing of the outcome, and those that say nothing of what must happen.
 FILLERS = "a an and are be by do does for happen happens in is of on or the to whether who will win wins winning".split()
@@ -48,13 +49,13 @@ PAIR_CONTEXT = r"\b(?:couple|pair|duo)\b"
 SEVERAL = r"(?:\band\b|&)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_fold(values: pd.Series) -> pd.Series:
     """NFKD, and what is not ASCII then left out; null stays null."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def block_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of matching blocks (Ratcliff-Obershelp) of two texts; not symmetric; null with a null side."""
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")

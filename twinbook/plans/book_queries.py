@@ -50,7 +50,7 @@ def book_mid_spread(spark: SparkSession, sf: str) -> DataFrame:
 def snapshot_ladders(spark: SparkSession, sf: str) -> DataFrame:
     at = _frames(spark, sf).where(F.col("type") == "snapshot")
     sides = [at.select("row_id", F.lit(s).alias("side"), F.posexplode(B.sorted_side(B.levels(F.col(c)), c == "asks"))) for s, c in (("ask", "asks"), ("bid", "bids"))]
-    return sides[0].unionByName(sides[1]).select("row_id", "side", F.col("pos").alias("level"), "col.price", "col.qty")
+    return sides[0].unionByName(sides[1]).select("row_id", "side", F.col("pos").cast("long").alias("level"), "col.price", "col.qty")
 
 
 def complement_asks(spark: SparkSession, sf: str) -> DataFrame:

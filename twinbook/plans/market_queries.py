@@ -61,10 +61,8 @@ def normalize_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 def title_numbers(spark: SparkSession, sf: str) -> DataFrame:
     name = F.col("name")
-    return _all(spark, sf).select(
-        "exchange_name", "market_id", T.thresholds(name).alias("thresholds"), T.numbers(name, T.STAGE).alias("stages"),
-        T.numbers(name, T.BEFORE_YEAR).alias("before_years"), T.districts(name).alias("districts"),
-    )
+    found = {"thresholds": T.thresholds(name), "stages": T.numbers(name, T.STAGE), "before_years": T.numbers(name, T.BEFORE_YEAR), "districts": T.districts(name)}
+    return _all(spark, sf).select("exchange_name", "market_id", *[F.array_join(v.cast("array<string>"), ",").alias(k) for k, v in found.items()])
 
 
 def title_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +81,7 @@ def entity_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def market_years(spark: SparkSession, sf: str) -> DataFrame:
-    return _all(spark, sf).select("exchange_name", "market_id", T.years(F.col("name"), F.col("subtitle"), F.col("description")).alias("years"))
+    return _all(spark, sf).select("exchange_name", "market_id", F.array_join(T.years(F.col("name"), F.col("subtitle"), F.col("description")).cast("array<string>"), ",").alias("years"))
 
 
 def token_frequency(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +98,7 @@ def _shortlist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_prefilter(spark: SparkSession, sf: str) -> DataFrame:
-    return _shortlist(spark, sf).select("k_id", "p_id", F.round("overlap", 9).alias("overlap"), "rank")
+    return _shortlist(spark, sf).select("k_id", "p_id", F.round("overlap", 9).alias("overlap"), F.col("rank").cast("long").alias("rank"))
 
 
 def rule_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,6 +192,11 @@ def _nums(x: str, pattern: str) -> str:
     return f"list_transform(regexp_extract_all({x}, '(?i){pattern}', 1), lambda v: CAST(v AS INTEGER))"
 
 
+def _joined(x: str) -> str:
+    return f"coalesce(array_to_string({x}, ','), '')"
+
+
+_YEARS = f"list_sort(list_distinct(list_transform(regexp_extract_all(concat_ws(' ', name, subtitle, description), '{T.YEAR}'), lambda v: CAST(v AS INTEGER))))"
 _ENTITY = f"""{_LATEST},
   s AS (SELECT event_ticker, count(*) > 1 AS several FROM k WHERE nullif(event_ticker, '') IS NOT NULL GROUP BY 1),
   kx AS (SELECT k.*, coalesce(s.several, false) AS several,
@@ -232,15 +235,15 @@ SQL = {
         SELECT exchange_name, count(*) AS total, count(*) FILTER (WHERE ok) AS liquid, round(1 - count(*) FILTER (WHERE ok) / count(*), 9) AS shrink FROM f GROUP BY 1""",
     "discover_top": f"WITH {_LATEST} SELECT exchange_name, market_id, volume, volume24h FROM m ORDER BY coalesce(volume, 0) DESC, coalesce(volume24h, 0) DESC, market_id LIMIT 20",
     "normalize_titles": f"WITH {_LATEST} SELECT exchange_name, market_id, {_normal('name')} AS normalized FROM m",
-    "title_numbers": f"""WITH {_LATEST} SELECT exchange_name, market_id, flatten([{', '.join(_nums('name', p) for p in T.THRESHOLDS)}]) AS thresholds, {_nums('name', T.STAGE)} AS stages,
-        {_nums('name', T.BEFORE_YEAR)} AS before_years,
-        list_transform(regexp_extract_all(name, '(?i){T.DISTRICT}', 1), lambda x: upper(substr(x, 1, 3)) || regexp_extract(x, '-0?([0-9]+)$', 1)) AS districts FROM m""",
+    "title_numbers": f"""WITH {_LATEST} SELECT exchange_name, market_id, {_joined("flatten([" + ", ".join(_nums('name', p) for p in T.THRESHOLDS) + "])")} AS thresholds,
+        {_joined(_nums('name', T.STAGE))} AS stages, {_joined(_nums('name', T.BEFORE_YEAR))} AS before_years,
+        {_joined(f"list_transform(regexp_extract_all(name, '(?i){T.DISTRICT}', 1), lambda x: upper(substr(x, 1, 3)) || regexp_extract(x, '-0?([0-9]+)$', 1))")} AS districts FROM m""",
     "title_rules": f"""WITH {_LATEST}, x AS (SELECT *, concat_ws(' ', name, event_title) AS cx FROM m) SELECT exchange_name, market_id, {_has('name', T.MARGIN)} AS margin, {_has('name', T.CAMPAIGN)} AS campaign,
         {_has('name', T.NOMINATION_WIN)} AS nomination_win, {_has('name', T.BALLOT)} AS ballot, {_has('name', T.ELECTION_WIN)} AS election_win,
         coalesce(array_to_string([{', '.join(f"CASE WHEN {_has('name', p)} THEN '{k}' END" for k, p in T.TITLES.items())}], ','), '') AS titles,
         coalesce(array_to_string([{_PHASES}], ','), '') AS title_phases FROM x""",
     "entity_extract": f"WITH {_ENTITY} SELECT exchange_name, market_id, entity, suffix FROM ke UNION ALL SELECT exchange_name, market_id, entity, NULL FROM pe",
-    "market_years": f"WITH {_LATEST} SELECT exchange_name, market_id, list_sort(list_distinct(list_transform(regexp_extract_all(concat_ws(' ', name, subtitle, description), '{T.YEAR}'), lambda v: CAST(v AS INTEGER)))) AS years FROM m",
+    "market_years": f"WITH {_LATEST} SELECT exchange_name, market_id, {_joined(_YEARS)} AS years FROM m",
     "token_frequency": f"WITH {_BLOCK} SELECT token, df FROM df",
     "blocking_candidates": f"WITH {_BLOCK} SELECT k_id, p_id FROM b",
     "entity_prefilter": f"WITH {_PREFILTER} SELECT k_id, p_id, round(o, 9) AS overlap, rank FROM g",

@@ -157,4 +157,4 @@ class PagedCatalog(DataSource):
 def read_pages(spark: SparkSession, path: str, pages: int = 0) -> DataFrame:
     """Pages of a catalog; rows that come twice are for ``latest_listing`` to settle."""
     spark.dataSource.register(PagedCatalog)
-    return spark.read.format("paged_catalog").option("path", path).option("pages", pages).load(path)
+    return spark.read.format("paged_catalog").option("pages", pages).load(path)

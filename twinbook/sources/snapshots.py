@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAIR_DEFAULTS = {"phrase_similarity": F.lit(0.0), "entity_similarity": F.lit(0.0), "taker_fee_coefficient": F.lit(0.05)}
+PAIR_DEFAULTS = {"phrase_similarity": 0.0, "entity_similarity": 0.0, "taker_fee_coefficient": 0.05}
 _EXCLUSIONS = "k_id string, p_id string, flagged_at timestamp, note string"
 
 
@@ -60,7 +60,7 @@ class SnapshotStore:
         path = self._current("pairs")
         at = self.spark.read.parquet(path) if path else self.spark.createDataFrame([], "k_id string, p_id string, confidence double")
         for c, default in PAIR_DEFAULTS.items():
-            at = at.withColumn(c, F.coalesce(F.col(c), default) if c in at.columns else default)
+            at = at.withColumn(c, F.coalesce(F.col(c), F.lit(default)) if c in at.columns else F.lit(default))
         return at
 
     def overwrite(self, matches: DataFrame, at: datetime) -> str:
