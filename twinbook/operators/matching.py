@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinbook.functions import text as T
+from twinbook.session import cut_lineage
 
 
 def latest_listing(markets: DataFrame) -> DataFrame:
@@ -144,12 +145,12 @@ def score_pairs(shortlist: DataFrame, phrase_most: int = 25, most: int = 10) ->
     taking 0.05, between 0 and 0.99.
     """
     at = with_phrases(shortlist.where(near_years() & compatible())).withColumns({"k_entity": F.col("k.entity"), "p_entity": F.col("p.entity")})
-    at = _ratio(at, "k_entity", "p_entity", "entity_ratio")
+    at = _ratio(cut_lineage(at), "k_entity", "p_entity", "entity_ratio")
     a, b = T.words(F.col("k_entity")), T.words(F.col("p_entity"))
     union = F.size(F.array_union(a, b))
     at = at.withColumn("entity_similarity", 0.65 * F.col("entity_ratio") + 0.35 * F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union))
     first = F.row_number().over(Window.partitionBy("k_id").orderBy(F.desc("phrase_overlap"), F.desc("entity_similarity"), "p_id"))
-    at = _ratio(at.withColumn("i", first).where(F.col("i") <= phrase_most).drop("i"), "k_phrase", "p_phrase", "phrase_ratio")
+    at = _ratio(cut_lineage(at.withColumn("i", first).where(F.col("i") <= phrase_most).drop("i")), "k_phrase", "p_phrase", "phrase_ratio")
     empty = (F.col("k_phrase") == "") | (F.col("p_phrase") == "")
     at = at.withColumn("phrase_similarity", F.when(empty, 0.0).otherwise(0.75 * F.col("phrase_overlap") + 0.25 * F.col("phrase_ratio")))
     second = F.row_number().over(Window.partitionBy("k_id").orderBy(F.desc("phrase_similarity"), F.desc("entity_similarity"), "p_id"))
