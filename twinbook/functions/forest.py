@@ -38,17 +38,17 @@ class Forest:
         base = np.arange(trees)[:, None] * width
         self.weight = average_path(m)
         for _ in range(self.depth):
-            low = np.full((trees * width, f), np.inf)
-            high = np.full((trees * width, f), -np.inf)
             flat = (base + node).ravel()
-            np.minimum.at(low, flat, x.reshape(-1, f))
-            np.maximum.at(high, flat, x.reshape(-1, f))
-            spread = high - low
-            open_ = np.unique(flat)
-            wide = spread[open_] > 0
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
+            open_, sorted_x = flat[order][first], x.reshape(-1, f)[order]
+            low = np.minimum.reduceat(sorted_x, first, axis=0)
+            spread = np.maximum.reduceat(sorted_x, first, axis=0) - low
+            wide = spread > 0
             draw = np.where(wide, rng.random(wide.shape), -1.0)
             chosen = draw.argmax(1)
-            cut = low[open_, chosen] + rng.random(len(open_)) * spread[open_, chosen]
+            each = np.arange(len(open_))
+            cut = low[each, chosen] + rng.random(len(open_)) * spread[each, chosen]
             splits = wide.any(1)
             t, k = np.divmod(open_, width)
             self.feature[t[splits], k[splits]] = chosen[splits]
