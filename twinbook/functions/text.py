@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, StringType
 #: Words that say nothing of the outcome, and those that say nothing of what must happen.
 FILLERS = "a an and are be by do does for happen happens in is of on or the to whether who will win wins winning".split()
 PHRASE_FILLERS = "a an and are at be by do does for happen happens in is of on or s the to whether who will".split()
+#: The patterns of the rules on names and descriptions.
 THRESHOLDS = [r"\btop\s+(\d+)\b", r"\bat\s+least\s+(\d+)\b", r"\bover\s+(\d+)\b", r"\bunder\s+(\d+)\b", r"\bexactly\s+(\d+)\b"]
 YEAR = r"\b(?:19|20)\d{2}\b"
 _UNIT = r"(?:%|percent(?:age)?(?:\s+points?)?|points?|votes?|goals?|runs?|seats?|games?|sets?|strokes?|seconds?|minutes?)"
