@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from twinbook.functions import text as T
 from twinbook.operators import matching as M
 from twinbook.operators.views import contract_link, quote_line, signed_money
+from twinbook.plans import market_queries as Q
 from twinbook.sources.catalogs import envelope_rows, parse_k, parse_p, parse_venue, read_pages, with_retry
 from twinbook.sources.snapshots import SnapshotStore, stamp
 
@@ -110,6 +111,27 @@ def test_linking_pipeline(spark):
     assert M.latest_listing(k.unionByName(k)).count() == 3
 
 
+def test_validation_counts_best_matches(spark, tmp_path):
+    k = [
+        {"market_id": "1", "name": "Will Greg Abbott win the primary in 2028?", "event_ticker": "E", "ticker": "E-GABB", "subtitle": "Greg Abbott"},
+        {"market_id": "2", "name": "Will Ann Bell win the top 5?", "event_ticker": "E", "ticker": "E-BELL"},
+    ]
+    p = [
+        {"market_id": "10", "name": "Greg Abbott wins the primary", "primary_entity_name": "Greg Abbott"}, {"market_id": "12", "name": "Abbott primary record", "primary_entity_name": "Abbott"},
+        {"market_id": "20", "name": "Ann Bell in the top 10", "primary_entity_name": "Ann Bell"},
+    ]
+    for name, rows in (("k_markets", k), ("p_markets", p)):
+        markets(spark, rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    labels = [("1", "10", True), ("2", "20", True), ("1", "12", False)]
+    spark.createDataFrame(labels, "k_market_id string, p_market_id string, is_match boolean").write.parquet(f"{tmp_path}/pair_labels.parquet")
+    got = Q.validation_report(spark, str(tmp_path)).collect()[0]
+    top = {}
+    for r in sorted(Q.fuzzy_scores(spark, str(tmp_path)).collect(), key=lambda r: (-r.confidence, r.p_id)):
+        top.setdefault(r.k_id, r.p_id)
+    assert top == {"1": "10"}  # the rules part 2 from 20, which blocking pairs; 12 is a candidate of 1, but not its best
+    assert (got.labelled, got.as_candidate, got.as_match, got.wrong, got.recall, got.precision) == (2, 2, 1, 0, 0.5, 1.0)
+
+
 def test_views(spark):
     df = spark.createDataFrame([("KALSHI", "A B*~", None, "x"), ("P", None, "s", "e"), ("P", None, "s", "s"), ("P", None, "s", None), ("P", None, None, "e")], "exchange_name string, ticker string, slug string, event_ticker string")
     assert [r[0] for r in df.select(contract_link(F.lit("k/"), F.lit("p/"))).collect()] == ["k/A%20B%2A~", "p/e/s", "p/s", "p/s", None]

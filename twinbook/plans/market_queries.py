@@ -124,8 +124,13 @@ def snapshot_minus_exclusions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validation_report(spark: SparkSession, sf: str) -> DataFrame:
-    candidates = blocking_candidates(spark, sf)
-    return M.validation(_labels(spark, sf), candidates, candidates)
+    """Matching is per K market, so only the labelled ones are paired, with all P markets; entities and frequencies are of the whole tables."""
+    labels = _labels(spark, sf)
+    k = M.with_entity_k(_k(spark, sf)).join(labels.select(F.col("k_id").alias("market_id")).distinct(), "market_id", "left_semi")
+    p = M.with_entity_p(_p(spark, sf))
+    pairs = M.blocking_pairs(k, p)
+    matches = M.best_match(M.score_pairs(M.entity_shortlist(pairs, M.features(k), M.features(p))))
+    return M.validation(labels, pairs, matches)
 
 
 def expiration_mismatch(spark: SparkSession, sf: str, most_days: float = 30.0) -> DataFrame:
