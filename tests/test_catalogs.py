@@ -132,6 +132,21 @@ def test_validation_counts_best_matches(spark, tmp_path):
     assert (got.labelled, got.as_candidate, got.as_match, got.wrong, got.recall, got.precision) == (2, 2, 1, 0, 0.5, 1.0)
 
 
+def test_expirations_of_all_forms(spark, tmp_path):
+    forms = [
+        ("2026-03-01T02:00:00+02:00", "2026-05-01T00:00:00Z"), ("2026-03-01T00:00Z", "1777593600"), ("2026-03-01", "2026-03-31 00:00:00"),
+        ("2026-02-28T19:00:00", "2026-05-01T00:00:00"), ("1 Mar 2026 00:00 UTC", "no date"), (None, None),
+    ]
+    for name, side, feed in (("k_markets", 0, 2), ("p_markets", 1, 1)):
+        rows = markets(spark, [{"market_id": f"{name[0]}{i}", "expiration_datetime": f[side]} for i, f in enumerate(forms)])
+        rows.withColumn("feed_id", F.when(F.col("market_id") == "k3", feed).otherwise(1)).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(1, "UTC", "ymd"), (2, "America/New_York", "mdy")], "feed_id int, zone_name string, date_order string").write.parquet(f"{tmp_path}/feeds.parquet")
+    spark.createDataFrame([(f"k{i}", f"p{i}", True) for i in range(len(forms))], "k_market_id string, p_market_id string, is_match boolean").write.parquet(f"{tmp_path}/pair_labels.parquet")
+    march, last, may = 1_772_323_200_000_000, 1_774_915_200_000_000, 1_777_593_600_000_000
+    got = {r.k_id: (r.ends_us, r.mismatch) for r in Q.expiration_mismatch(spark, str(tmp_path)).collect()}
+    assert got == {"k0": (may, True), "k1": (may, True), "k2": (last, False), "k3": (may, True), "k4": (march, False), "k5": (None, False)}
+
+
 def test_views(spark):
     df = spark.createDataFrame([("KALSHI", "A B*~", None, "x"), ("P", None, "s", "e"), ("P", None, "s", "s"), ("P", None, "s", None), ("P", None, None, "e")], "exchange_name string, ticker string, slug string, event_ticker string")
     assert [r[0] for r in df.select(contract_link(F.lit("k/"), F.lit("p/"))).collect()] == ["k/A%20B%2A~", "p/e/s", "p/s", "p/s", None]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinbook.functions import text as T
 from twinbook.operators import matching as M
+from twinbook.operators.instants import with_instant
 from twinbook.operators.views import contract_link
 from twinbook.sources.catalogs import envelope_rows, parse_k
 from twinbook.sources.tables import table
@@ -134,9 +135,8 @@ def validation_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def expiration_mismatch(spark: SparkSession, sf: str, most_days: float = 30.0) -> DataFrame:
-    iso = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
-    moment = F.unix_micros(F.try_to_timestamp(F.when(F.col("expiration_datetime").rlike(iso), F.col("expiration_datetime"))))
-    k, p = (f(spark, sf).select(F.col("market_id").alias(i), moment.alias(c)) for f, i, c in ((_k, "k_id", "ke"), (_p, "p_id", "pe")))
+    feeds = table(spark, sf, "feeds")
+    k, p = (with_instant(f(spark, sf), "expiration_datetime", feeds, c).select(F.col("market_id").alias(i), c) for f, i, c in ((_k, "k_id", "ke"), (_p, "p_id", "pe")))
     at = _labels(spark, sf).join(k, "k_id").join(p, "p_id")
     apart = F.abs(F.col("ke") - F.col("pe")) / 86_400_000_000
     return at.select("k_id", "p_id", F.coalesce("pe", "ke").alias("ends_us"), F.coalesce(apart > most_days, F.lit(False)).alias("mismatch"))
