@@ -40,6 +40,14 @@ def test_statistics(spark):
     assert all(got[i][0].word_count == 0 and got[i][0].features is None for i in (2, 3, 4)) and got[5][0].word_count == 200_000
 
 
+def test_long_texts_are_packed_whole():
+    rnd = np.random.default_rng(3)
+    noise = "".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz      \n"), 1_200_000))
+    packed = 19  # its place among the features
+    half, whole, mixed = (describe(t)[0][packed] for t in (noise[:600_000], noise, "so it was\n" * 110_000 + noise))
+    assert abs(half - whole) < 0.01 * whole and 0.4 * whole < mixed < 0.6 * whole
+
+
 def texts(n):
     rnd = np.random.default_rng(n)
     prose = "The price moved before the vote. We do not know why it was so thin, and nobody said more about it."

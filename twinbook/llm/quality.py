@@ -49,6 +49,8 @@ _ODD = re.compile("[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f​─-
 _HEX = re.compile(r"^[0-9a-f]{2}$|^[0-9a-f]{8,}$")
 _MOJIBAKE = re.compile("[ÃÂâÐÑã][\u0080-\u00bf\u0192\u02c6\u02dc\u2013-\u2122]|â‚¬")
 _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}")
+#: Characters that are packed at a time.
+CHUNK = 1_000_000
 STATS = ["word_count", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share"]
 
 
@@ -147,7 +149,8 @@ def describe(text: str) -> tuple[list[float], dict[str, float]]:
     pairs = Counter(zip(lower, lower[1:]))
     lengths = np.array([len(x) for x in lines] or [0], float)
     tokens = text.split()
-    packed = zlib.compress(text[:1_000_000].encode("utf-8", "replace"), 1) if n else b""
+    packer = zlib.compressobj(1)
+    packed = sum(len(packer.compress(text[i : i + CHUNK].encode("utf-8", "replace"))) for i in range(0, len(text), CHUNK)) + len(packer.flush())
     low = text.lower()
     marks = np.array([text.count(m) for m in ("|", ";", "\t", ",", "{", '"', "<", "/", "\\", ":", "=", "_")], float)
     stats = [
@@ -156,7 +159,7 @@ def describe(text: str) -> tuple[list[float], dict[str, float]]:
     features = stats + [
         np.log1p(n), np.log1p(nl), digits / n, letters / n, spaces / n, sum(map(str.isupper, text)) / n, len(_KANA.findall(text)) / n, len(_ODD.findall(text)) / n, len(_MOJIBAKE.findall(text)) / n,
         float(lengths.mean()), float(lengths.std() / max(lengths.mean(), 1)), len(counts) / nw, max(counts.values(), default=0) / nw, max(pairs.values(), default=0) / nw,
-        len(packed) / n, sum(c in "aeiouyáéíóúäöüàèêâîôû" for c in low) / max(letters, 1), len(_CONSONANTS.findall(low)) / nw,
+        packed / n, sum(c in "aeiouyáéíóúäöüàèêâîôû" for c in low) / max(letters, 1), len(_CONSONANTS.findall(low)) / nw,
         np.log1p(max(map(len, tokens), default=0)), sum(w[:1].isupper() for w in words) / nw, sum(bool(_NUMBER.match(t)) for t in tokens) / max(len(tokens), 1),
         sum(text.count(c) for c in ".!?。！？") / n, sum(bool(_BULLET.match(x)) for x in lines) / nl, sum(bool(_PAIR.match(x.strip())) for x in lines) / nl,
         sum(len(_CELLS.split(x.strip())) >= 3 for x in lines) / nl, sum(bool(_TRACE.match(x)) for x in lines) / nl,
