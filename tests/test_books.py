@@ -136,6 +136,33 @@ def test_persistence_runs(spark):
     assert got == {("a", 1): (1, 1, 1, None), ("a", 3): (5, 4, 3, 5), ("b", 1): (1, 2, 1, None), ("b", 4): (6, 3, 3, 6)}
 
 
+def test_persistence_by_duration(spark):
+    rnd = random.Random(7)
+    ticks, at = [], 0
+    for _ in range(400):
+        at += rnd.choice([1, 2, 5])
+        ticks.append(("a", at, rnd.random() < 0.9, rnd.choice([None, 1, 1, 2])))
+    df = spark.createDataFrame(ticks, "k string, at int, present boolean, version int")
+    for least, lasting in ((3, 6), (None, 6), (4, None)):
+        want, run = {}, None
+        for _, t, present, version in ticks:
+            if not present:
+                run = None
+                continue
+            if run is not None and version is not None and version == run["version"]:
+                continue
+            run = run or {"first": t, "seen": 0}
+            run["seen"], run["version"] = run["seen"] + 1, version
+            if want.setdefault(run["first"], None) is None and ((least and run["seen"] >= least) or (lasting and t - run["first"] >= lasting)):
+                want[run["first"]] = t
+        got = {r.first["at"]: r.confirmed and r.confirmed["at"] for r in G.persistence(df, ["k"], ["at"], least, lasting).collect()}
+        assert got == want and any(want.values())
+    with pytest.raises(ValueError, match="must be given"):
+        G.persistence(df, ["k"], ["at"], None)
+    with pytest.raises(ValueError, match="at least 1"):
+        G.persistence(df, ["k"], ["at"], 0)
+
+
 def run_stream(spark, tmp_path, batches, schema, build, name):
     """Replays batches in order through a stream over files; returns what it put out."""
     source = tmp_path / name

@@ -147,6 +147,33 @@ def test_expirations_of_all_forms(spark, tmp_path):
     assert got == {"k0": (may, True), "k1": (may, True), "k2": (last, False), "k3": (may, True), "k4": (march, False), "k5": (None, False)}
 
 
+def test_misses_and_their_reasons(spark):
+    k = markets(spark, [{"market_id": i} for i in "12345"])
+    p = markets(spark, [{"market_id": i} for i in ("10", "20", "30", "40", "50")])
+    pair = lambda *rows: spark.createDataFrame(rows, "k_id string, p_id string")
+    labels = spark.createDataFrame([("1", "10", True), ("2", "20", True), ("3", "30", True), ("4", "40", True), ("9", "50", True), ("5", "99", True), ("5", "50", False)], "k_id string, p_id string, is_match boolean")
+    candidates, best = pair(("1", "10"), ("3", "30"), ("4", "40"), ("4", "10")), pair(("1", "10"), ("2", "10"), ("4", "10"), ("9", "50"))
+    got = {(r.k_id, r.p_id): (r.predicted, r.reason) for r in M.misses(labels, k, p, candidates, best).collect()}
+    assert got == {("2", "20"): (None, "no candidate"), ("3", "30"): (None, "no match"), ("4", "40"): ("10", "other match"), ("9", "50"): (None, "absent"), ("5", "99"): (None, "absent")}
+
+
+def test_pairs_against_individuals(spark):
+    k = markets(spark, [
+        {"market_id": "1", "name": "Which couple wins?", "primary_entity_name": "Ann & Bob"}, {"market_id": "2", "name": "Who wins?", "subtitle": "Ann and Bob"},
+        {"market_id": "3", "name": "x", "slug": "will-ann-win-it", "event_title": "Best duo"}, {"market_id": "4", "name": "Sandy's pair", "subtitle": "Sandy"},
+    ])
+    p = markets(spark, [{"market_id": "10", "name": "Ann"}, {"market_id": "11", "name": "Cy and Di", "event_title": "Best Pair"}, {"market_id": "12", "name": None}])
+    pairs = k.select(F.col("market_id").alias("k_id")).crossJoin(p.select(F.col("market_id").alias("p_id")))
+    got = {(r.k_id, r.p_id) for r in M.with_rules_check(pairs, k, p).where("rules_check").collect()}
+    assert got == {("1", "10"), ("3", "11"), ("4", "11")}
+
+
+def test_most_confident(spark):
+    at = spark.createDataFrame([(str(i), "x", (i % 30) / 30) for i in range(100)], "k_id string, p_id string, confidence double")
+    got = [(r.confidence, r.k_id) for r in M.most_confident(at).collect()]
+    assert got == sorted(((i % 30 / 30, str(i)) for i in range(100)), key=lambda x: (-x[0], x[1]))[:20]
+
+
 def test_views(spark):
     df = spark.createDataFrame([("KALSHI", "A B*~", None, "x"), ("P", None, "s", "e"), ("P", None, "s", "s"), ("P", None, "s", None), ("P", None, None, "e")], "exchange_name string, ticker string, slug string, event_ticker string")
     assert [r[0] for r in df.select(contract_link(F.lit("k/"), F.lit("p/"))).collect()] == ["k/A%20B%2A~", "p/e/s", "p/s", "p/s", None]

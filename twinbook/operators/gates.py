@@ -41,12 +41,17 @@ def as_of(moments: DataFrame, prices: DataFrame, value: str = "mid") -> DataFram
     return seen.join(first, "market_id", "left").select("market_id", "us", F.coalesce("seen", "first").alias(value))
 
 
-def persistence(ticks: DataFrame, key: list[str], order: list[str], least: int = 3) -> DataFrame:
+def persistence(ticks: DataFrame, key: list[str], order: list[str], least: int | None = 3, least_us: int | None = None) -> DataFrame:
     """Runs of ticks that are present: one row per run with its ticks, counted versions, and the tick that confirmed it.
 
     ``ticks``: key, order, ``present``, ``version``. A tick counts if it is the run's first, its version is null, or differs
-    from the tick before. Null presence is absence.
+    from the tick before. Null presence is absence. A run is confirmed by its first counted tick that is the ``least``-th or
+    is ``least_us`` after the run's start by the first column of ``order`` (microseconds); one of the two must be given.
     """
+    if least is None and least_us is None:
+        raise ValueError("least or least_us must be given")
+    if least is not None and least < 1:
+        raise ValueError("least must be at least 1")
     w = Window.partitionBy(*key).orderBy(*order)
     present = F.coalesce(F.col("present"), F.lit(False))
     at = ticks.select("*", present.alias("p")).select(
@@ -59,7 +64,11 @@ def persistence(ticks: DataFrame, key: list[str], order: list[str], least: int =
     counted = F.col("starts") | F.col("version").isNull() | ~F.col("version").eqNullSafe(F.col("was"))
     at = at.withColumn("counted", counted).withColumn("seen", F.sum(F.col("counted").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     o = F.struct(*order)
+    enough = F.lit(False) if least is None else F.col("seen") >= least
+    if least_us is not None:
+        at = at.withColumn("lasted", F.col(order[0]) - F.min(order[0]).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        enough = enough | (F.col("counted") & (F.col("lasted") >= least_us))
     return at.groupBy(*key, "run").agg(
         F.min(o).alias("first"), F.max(F.when(F.col("counted"), o)).alias("last"), F.count("*").alias("ticks"), F.max("seen").alias("observations"),
-        F.min(F.when(F.col("seen") >= least, o)).alias("confirmed"),
+        F.min(F.when(enough, o)).alias("confirmed"),
     )

@@ -170,6 +170,44 @@ def without(pairs: DataFrame, excluded: DataFrame) -> DataFrame:
     return pairs.join(excluded.select("k_id", "p_id").distinct(), ["k_id", "p_id"], "left_anti")
 
 
+def most_confident(matches: DataFrame, most: int = 20) -> DataFrame:
+    """The ``most`` matches of highest confidence; ties go to the smaller ids."""
+    return matches.orderBy(F.desc("confidence"), "k_id", "p_id").limit(most)
+
+
+def _outcome() -> Column:
+    """The outcome's entity as written: the named one, the label, what the slug says of a win, or the name."""
+    won = F.nullif(F.regexp_replace(F.regexp_extract("slug", "(?i)^will-(.+?)-win(?:-|$)", 1), "-", " "), F.lit(""))
+    return F.coalesce(_given("primary_entity_name"), _given("subtitle"), won, F.col("name"), F.lit(""))
+
+
+def with_rules_check(pairs: DataFrame, k: DataFrame, p: DataFrame) -> DataFrame:
+    """Adds ``rules_check``: one side's outcome is a couple, pair or duo and the other's is a single one, so the rules need a reader."""
+    def side(markets: DataFrame, i: str, s: str) -> DataFrame:
+        several = T.has(_outcome(), T.SEVERAL)
+        pair = several & T.has(F.concat_ws(" ", _given("name"), _given("event_title")), T.PAIR_CONTEXT)
+        return markets.select(F.col("market_id").alias(i), pair.alias(f"__{s}_pair"), (~several & (_outcome() != "")).alias(f"__{s}_single"))
+
+    at = pairs.join(side(k, "k_id", "k"), "k_id").join(side(p, "p_id", "p"), "p_id")
+    check = (F.col("__k_pair") & F.col("__p_single")) | (F.col("__p_pair") & F.col("__k_single"))
+    return at.select(*pairs.columns, check.alias("rules_check"))
+
+
+def misses(labels: DataFrame, k: DataFrame, p: DataFrame, candidates: DataFrame, matches: DataFrame) -> DataFrame:
+    """Labelled matches that are not found, the K market's best match as ``predicted`` (null where the pair is no candidate), and the first
+    ``reason`` that holds: ``absent`` (a market is not in the catalogs), ``no candidate``, ``no match`` (rules and limits left none), ``other match``."""
+    true = labels.where("is_match").select("k_id", "p_id")
+    known = lambda m, i: m.select(F.col("market_id").alias(i), F.lit(True).alias(f"has_{i}")).distinct()
+    at = true.join(known(k, "k_id"), "k_id", "left").join(known(p, "p_id"), "p_id", "left").join(
+        candidates.select("k_id", "p_id", F.lit(True).alias("c")).distinct(), ["k_id", "p_id"], "left"
+    ).join(matches.select("k_id", F.col("p_id").alias("best")), "k_id", "left")
+    reason = (
+        F.when(F.col("has_k_id").isNull() | F.col("has_p_id").isNull(), "absent").when(F.col("c").isNull(), "no candidate")
+        .when(F.col("best").isNull(), "no match").when(F.col("best") != F.col("p_id"), "other match")
+    )
+    return at.select("k_id", "p_id", F.when(F.col("c"), F.col("best")).alias("predicted"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def validation(labels: DataFrame, candidates: DataFrame, matches: DataFrame) -> DataFrame:
     """One row: labelled matches, how many are candidates and best matches, and how many best matches are labelled false."""
     marked = labels.join(candidates.select("k_id", "p_id", F.lit(True).alias("c")).distinct(), ["k_id", "p_id"], "left").join(

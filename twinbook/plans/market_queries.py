@@ -124,14 +124,32 @@ def snapshot_minus_exclusions(spark: SparkSession, sf: str) -> DataFrame:
     return M.without(labels.select("k_id", "p_id"), labels.where("NOT is_match"))
 
 
-def validation_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Matching is per K market, so only the labelled ones are paired, with all P markets; entities and frequencies are of the whole tables."""
+def summary_top(spark: SparkSession, sf: str) -> DataFrame:
+    return M.most_confident(best_match(spark, sf)).select("k_id", "p_id", "confidence", "phrase_similarity", "entity_similarity")
+
+
+def rules_check(spark: SparkSession, sf: str) -> DataFrame:
+    return M.with_rules_check(best_match(spark, sf).select("k_id", "p_id"), _k(spark, sf), _p(spark, sf))
+
+
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, candidates and best matches of the labelled K markets: matching is per K market, so only these are paired, with all P
+    markets; entities and frequencies are of the whole tables."""
     labels = _labels(spark, sf)
     k = M.with_entity_k(_k(spark, sf)).join(labels.select(F.col("k_id").alias("market_id")).distinct(), "market_id", "left_semi")
     p = M.with_entity_p(_p(spark, sf))
     pairs = M.blocking_pairs(k, p)
     matches = M.best_match(M.score_pairs(M.entity_shortlist(pairs, M.features(k), M.features(p))))
-    return M.validation(labels, pairs, matches)
+    return labels, pairs, matches
+
+
+def validation_report(spark: SparkSession, sf: str) -> DataFrame:
+    return M.validation(*_judged(spark, sf))
+
+
+def validation_misses(spark: SparkSession, sf: str) -> DataFrame:
+    labels, pairs, matches = _judged(spark, sf)
+    return M.misses(labels, _k(spark, sf), _p(spark, sf), pairs, matches)
 
 
 def expiration_mismatch(spark: SparkSession, sf: str, most_days: float = 30.0) -> DataFrame:
@@ -165,7 +183,7 @@ QUERIES = {
     for f in (
         dedup_catalog, catalog_coverage, liquid_markets, shrink_metrics, discover_top, normalize_titles, title_numbers, title_rules, entity_extract,
         market_years, token_frequency, blocking_candidates, entity_prefilter, rule_filter, phrase_overlap, fuzzy_scores, best_match,
-        snapshot_minus_exclusions, validation_report, expiration_mismatch, contract_links, envelope_parse, multi_get,
+        summary_top, rules_check, snapshot_minus_exclusions, validation_report, validation_misses, expiration_mismatch, contract_links, envelope_parse, multi_get,
     )
 }
 
