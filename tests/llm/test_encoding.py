@@ -40,6 +40,13 @@ def test_same_ids(ours, byte_by_byte, theirs, i):
     assert "".join(ours.decode(ours.encode(FIXED[i]))) == FIXED[i]
 
 
+def test_every_piece_is_streamed(monkeypatch, theirs):
+    coder, read, stream = Bpe(default_vocabulary()), [], Bpe.stream
+    monkeypatch.setattr(Bpe, "stream", lambda self, data: read.append(bytes(data)) or stream(self, data))
+    text = "the unforeseeable Vetokestad the unforeseeable " + "ab" * 200
+    assert coder.encode(text) == theirs(text) and b"".join(sorted(read)) == b"".join(sorted({x.encode() for x in coder.split(text)}))
+
+
 @given(st.text(max_size=300))
 @settings(max_examples=150, deadline=None)
 def test_any_text(ours, theirs, text):

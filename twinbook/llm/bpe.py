@@ -1,7 +1,7 @@
 """Byte-pair encoding as a streaming transducer, and its inverse.
 
-Texts are read in pieces (the vocabulary's own splitting pattern) and each piece becomes tokens by the merge list. A piece
-of ordinary length is merged at once and remembered. A long piece is read byte by byte: the merged form of every prefix is
+Texts are read in pieces (the vocabulary's own splitting pattern) and each piece becomes tokens by the merge list. Every
+piece is read byte by byte, and the tokens of those of ordinary length are remembered: the merged form of every prefix is
 the merged form of a shorter prefix and one token (the only one that merges with neither its predecessor nor across it),
 so that a table of last tokens over the ``lookahead`` latest positions is all the state there is; tokens that all of these
 positions have in common can no longer change and are emitted. ``lookahead`` is the longest token: no token that begins
@@ -124,13 +124,12 @@ class Bpe:
             ids = known.get(piece)
             if ids is None:
                 data = piece.encode("utf-8", "replace")
-                if len(data) > self.long_piece:
+                if len(data) > self.long_piece:  # too long to be remembered
                     out.extend(self.stream(data))
                     continue
                 if len(known) >= self.remembered:
                     known.clear()
-                whole = self.ranks.get(data)
-                ids = known[piece] = (whole,) if whole is not None else tuple(self.merge(data))
+                ids = known[piece] = tuple(self.stream(data))
             out.extend(ids)
         return out
 
