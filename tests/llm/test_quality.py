@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from twinbook.llm.boosting import BoostedTrees
+from twinbook.llm.queries import p8_quality
 from twinbook.llm.quality import KINDS, TEMPERATURE, describe, fit_kinds, judge_texts, line_kind, statistics_of, weak_label
 
 LINES = {
@@ -68,6 +69,24 @@ def test_kinds(spark):
     assert {r.kind for r in judge_texts(df.where("doc_id >= 9000")).collect()} == {None}
 
 
+def test_documents_judged_by_hand_calibrate(spark, tmp_path):
+    rows = texts(60)
+    sure, kinds = {}, {}
+    for name, shift in (("right", 0), ("wrong", 1)):
+        folder = str(tmp_path / name)
+        spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        judged = [(i, KINDS[(KINDS.index(k) + shift * (j % 2)) % 4]) for j, (i, _, k) in enumerate(rows[:40])]
+        spark.createDataFrame(judged, "doc_id long, kind string").write.parquet(f"{folder}/doc_kinds.parquet")
+        got = {r.doc_id: r for r in p8_quality(spark, folder).collect()}
+        assert len(got) == len(rows)
+        sure[name], kinds[name] = np.mean([got[i].confidence for i, _, _ in rows]), {i: r.kind for i, r in got.items()}
+    assert sure["wrong"] < sure["right"] - 0.1 and kinds["wrong"] == kinds["right"]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    everything = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, kind string")
+    assert judge_texts(df, judged=everything).where("kind is null").count() == 0
+    assert judge_texts(df.limit(0), judged=everything).count() == 0
+
+
 HAND = "/root/testdata/sf0.1"
 
 

@@ -2,8 +2,8 @@
 
 Each text is read once, in an Arrow batch, to a row of statistics and the characters that its lines give to each structure.
 Texts whose lines agree are weak labels; boosted trees are fitted to the statistics of a bounded sample of them
-(``per_class`` of each kind, those of smallest hash) and judge every text. The temperature that calibrates the
-probabilities was found on documents judged by hand.
+(``per_class`` of each kind, those of smallest hash) and judge every text. Documents judged by hand are held out of the fit
+and set the temperature that calibrates the probabilities of these trees.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from twinbook.llm.boosting import BoostedTrees
 from twinbook.session import cut_lineage, spread
 
 KINDS = ["prose", "list", "table", "junk"]
-#: Found by ``BoostedTrees.calibrate`` on the documents judged by hand (see tests/llm/test_quality.py).
+#: Of trees without a holdout. Found by ``BoostedTrees.calibrate`` on the documents judged by hand (see tests/llm/test_quality.py).
 TEMPERATURE = 2.0
 #: Frequent words of the languages expected.
 COMMON = frozenset(
@@ -194,8 +194,18 @@ def statistics_of(documents: DataFrame, id_column: str = "doc_id", text: str = "
     return spread(documents.select(id_column, text)).mapInPandas(run, schema)
 
 
-def fit_kinds(described: DataFrame, id_column: str = "doc_id", per_class: int = 1_500, temperature: float = TEMPERATURE) -> BoostedTrees | None:
-    """Trees fitted to at most ``per_class`` weakly labelled rows of each kind (smallest hash of the id); None without any."""
+def fit_kinds(described: DataFrame, id_column: str = "doc_id", per_class: int = 1_500, temperature: float = TEMPERATURE, judged: DataFrame | None = None) -> BoostedTrees | None:
+    """Trees fitted to at most ``per_class`` weakly labelled rows of each kind (smallest hash of the id); None without any.
+
+    Rows whose id is in ``judged`` (id and ``kind``, a few rows) are left out of the fit and set the temperature in place of
+    ``temperature``. If no labelled row is left, they are fitted to and the temperature stays.
+    """
+    if judged is not None:
+        labels = judged.where(F.col("kind").isin(KINDS)).groupBy(id_column).agg(F.min("kind").alias("kind"))
+        held = described.where("features is not null").join(F.broadcast(labels), id_column).dropDuplicates([id_column]).orderBy(id_column).select("features", "kind").collect()
+        model = fit_kinds(described.join(F.broadcast(labels), id_column, "left_anti"), id_column, per_class, temperature)
+        if held and model is not None:
+            return model.calibrate(np.array([r.features for r in held], float), np.array([KINDS.index(r.kind) for r in held]))
     order = Window.partitionBy("weak").orderBy(F.xxhash64(id_column), id_column)
     sample = described.where("weak is not null").select(id_column, "weak", "features").withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_class)
     rows = sample.select("weak", "features").collect()
@@ -208,15 +218,15 @@ def fit_kinds(described: DataFrame, id_column: str = "doc_id", per_class: int =
     return model
 
 
-def judge_texts(documents: DataFrame, id_column: str = "doc_id", text: str = "text", per_class: int = 1_500) -> DataFrame:
+def judge_texts(documents: DataFrame, id_column: str = "doc_id", text: str = "text", per_class: int = 1_500, judged: DataFrame | None = None) -> DataFrame:
     """Statistics, ``kind`` (prose, list, table or junk) and ``confidence`` of every text.
 
     Texts that are null, empty or blank have null kind and confidence. Texts of one kind only are judged as that kind; if no
-    text is labelled, all kinds are null. Very long texts are read whole. An empty table stays empty; other columns are
+    text is labelled, all kinds are null. ``judged`` has the documents judged by hand (see ``fit_kinds``). Very long texts are read whole. An empty table stays empty; other columns are
     left out.
     """
     described = cut_lineage(statistics_of(documents, id_column, text))
-    model = fit_kinds(described, id_column, per_class)
+    model = fit_kinds(described, id_column, per_class, judged=judged)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

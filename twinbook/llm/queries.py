@@ -48,7 +48,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return judge_texts(table(spark, sf, "documents"))
+    return judge_texts(table(spark, sf, "documents"), judged=table(spark, sf, "doc_kinds"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
