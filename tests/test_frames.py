@@ -142,6 +142,18 @@ def test_spikes_frozen_runs_and_limits(spark):
     assert implausible_rows(frames.limit(0)).count() == 0
 
 
+def test_frozen_runs_in_spite_of_one_of_middle_length(spark):
+    rows = walk("m", 1, 3_000, 5)
+    want = set()
+    for at, k, price in [(100, 3, 0.11), (200, 7, 0.11), (500, 20, 0.12), (2030, 33, 0.13)]:  # the last one over a block's border
+        for i in range(at, at + k):
+            rows[i][6] = price
+            if k >= 22 and i > at:
+                want.add((i + 1, 0))
+    frames = spark.createDataFrame([tuple(r) for r in rows], FRAMES)
+    assert {(r.seq, r.side) for r in reading_scores(frames).where("is_frozen").collect()} == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_few_readings(spark, n):
     frames = spark.createDataFrame([tuple(r) for r in walk("m", 1, n, 2)], FRAMES)

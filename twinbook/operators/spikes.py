@@ -20,6 +20,8 @@ from twinbook.functions.forest import Forest, mix
 from twinbook.session import cut_lineage
 
 BLOCK, CHUNK, HALO, SAMPLE = 2_048, 64, 8, 256
+#: How many runs of a frozen run's length a source may have by chance.
+CHANCE = 0.01
 
 
 def impossible(bid: str = "best_bid_price", ask: str = "best_ask_price") -> Column:
@@ -126,7 +128,9 @@ _SUMMARY = "market_id string, side int, steps array<bigint>, many array<bigint>,
 def source_models(blocks: DataFrame, run_factor: float, least_run: int) -> DataFrame:
     """Per (market, side): ``usual_move`` (median of its nonzero moves), ``run_limit`` and the forest's sample.
 
-    ``run_limit`` is the least run length that is ``run_factor`` times as long as the next shorter run of the source.
+    ``run_limit`` is the least run length that is ``run_factor`` times as long as the next shorter run of the source, or of
+    which chance gives less than ``CHANCE`` in the source: lengths are taken to thin out tenfold with each 0.9-quantile of all
+    its runs, so that a few runs of any length don't move it.
     """
     key = ["market_id", "side"]
     s = cut_lineage(blocks.mapInPandas(_summaries, _SUMMARY))
@@ -140,9 +144,13 @@ def source_models(blocks: DataFrame, run_factor: float, least_run: int) -> DataF
         "*", F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum("n").over(Window.partitionBy(*key)).alias("total")
     )
     usual = moves.where(F.col("c") * 2 >= F.col("total")).groupBy(*key).agg((F.min("x") / 1e6).alias("usual_move"))
-    runs = histogram("runs", "often").select("*", F.lag("x").over(up).alias("shorter"))
+    runs = histogram("runs", "often").select(
+        "*", F.lag("x").over(up).alias("shorter"), F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum("n").over(Window.partitionBy(*key)).alias("total")
+    )
+    usual_run = F.min(F.when(F.col("c") * 10 >= F.col("total") * 9, F.col("x"))).over(Window.partitionBy(*key))
+    runs = runs.withColumn("rare", F.col("x") >= usual_run * F.log10(F.col("total") / CHANCE))
     limit = runs.groupBy(*key).agg(
-        F.min(F.when((F.col("x") >= least_run) & (F.col("x") >= run_factor * F.col("shorter")), F.col("x"))).alias("run_limit")
+        F.min(F.when((F.col("x") >= least_run) & ((F.col("x") >= run_factor * F.col("shorter")) | F.col("rare")), F.col("x"))).alias("run_limit")
     )
     points = s.select(*key, F.inline(F.arrays_zip(F.col("keys").alias("k"), F.col("points").alias("p")))).toDF(*key, "k", "p")
     ranked = points.select("*", F.row_number().over(Window.partitionBy(*key).orderBy("k", "p")).alias("i")).where(F.col("i") <= SAMPLE)
@@ -203,7 +211,7 @@ def reading_scores(
 
     ``is_spike``: the price leaves by more than ``jump_factor`` usual moves of its source and is back after at most
     ``longest`` readings. ``is_frozen``: within a run of at least ``least_run`` readings, ``run_factor`` times as long as the
-    next shorter run of the source, all but its first. With ``least_score`` only the forest's candidates that the exact
+    next shorter run of the source or too long for chance (see ``source_models``), all but its first. With ``least_score`` only the forest's candidates that the exact
     verdicts confirm come out. Null prices are skipped; rows without source or ``seq`` have no place in the order; repeated
     deliveries count once (the first received). Sources with a single level have no usual move and no verdict. Empty in,
     empty out; further columns are ignored.
