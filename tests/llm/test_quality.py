@@ -1,24 +1,14 @@
 import os
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from twinbook.llm.boosting import BoostedTrees
 from twinbook.llm.queries import p8_quality
-from twinbook.llm.quality import KINDS, TEMPERATURE, describe, fit_kinds, judge_texts, line_kind, statistics_of, weak_label
-
-LINES = {
-    "prose": ["The committee will announce the winner on Monday, as far as we know.", "sold too early again :(", "勝者は7月22日に発表される予定です。", "NOBODY ON OUR DESK BELIEVES THAT THEY CAN STILL WIN."],
-    "list": ["- Harbor Cup, Vetokestad", "KXTRBPRSK-26", "(3) Sadatomar Ferrymen", "[x] River Trophy", "Pavel Mobevik, Ragna Kokic, Guzetostad Comets, Dosukemar Badgers", "<li>one</li>", "Kunasemere Millers -> open"],
-    "table": ["| a | 0.1 | 0.2 |", "08:52:39\t0.168\t0.086", "market;bid;ask;size", "0.53    3421   0.55    4485", "x & 1 & 2 \\\\", "+-----+----+", "<tr><td>1</td></tr>", "K,0.4,12,0.3"],
-    "junk": ["    at qaxwy.jih(ntoon:107)", '{"px":11,"q":369},{"px":56,"q":791}', "z2zlnXo76U9fsTmXZLg96aCCABezRVyEcsd6kqXwAo0dFEUin", "b6 2c c9 7b f2 11 f6 e3", "click here click here click here click here", "█ □ � █ □ �", "hwd;rekqy vwl,gqc tsrhgyll fz,gdvxqh zgrwzw"],
-}
-
-
-@pytest.mark.parametrize(("kind", "line"), [(k, x) for k, xs in LINES.items() for x in xs])
-def test_lines(kind, line):
-    assert line_kind(line) == kind
-
+from twinbook.llm import quality
+from twinbook.llm.quality import COMMON, FEATURES, KINDS, described, fit_kinds, judge_texts, weak_labels
 
 def test_trees_learn_and_calibrate():
     rnd = np.random.default_rng(1)
@@ -30,25 +20,78 @@ def test_trees_learn_and_calibrate():
     assert np.allclose(p.sum(1), 1) and 0.25 <= m.temperature <= 8
 
 
-def test_statistics(spark):
-    rows = [(1, "The cat sat. It was fine!\nno end here"), (2, None), (3, ""), (4, " \n\t"), (5, "word " * 200_000), (1, "The cat sat. It was fine!\nno end here")]
+WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+ODD_TEXTS = [
+    "The cat sat. It was fine!\nno end here", "word", "a\r\nb\rc\n\n  d  \n", "don't can’t 'x' rock'n'roll", "na\u0308ive É Ünder_score x_1", "😀 emoji 😀", "勝者は7月22日に発表される予定です。",
+    "| a | 0.1 |\n|---|---|\n| b | 0.2 |", "\t\x00\u200b.", "'", "x" * 5_000, "- one\n- two\n- three", "one  two\n\n\n", "ſtraße İ ½ ²",
+]
+
+
+def plainly(text):
+    lines = [x for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
+    words = WORD.findall(text)
+    symbols = sum(not (c.isalnum() or c.isspace()) for c in text)
+    ended = sum(x.rstrip()[-1] in ".!?…。！？\"'”’»):;," for x in lines)
+    low = [w.lower() for w in words]
+    n = max(len(words), 1)
+    return len(words), sum(map(len, words)) / n, symbols / len(text), ended / len(lines), sum(w in COMMON for w in low) / n, len(set(low)), max(Counter(low).values(), default=0), max(map(len, text.split()))
+
+
+def test_statistics_against_plain_python():
+    x = described(ODD_TEXTS)
+    at = {c: x[:, i] for i, c in enumerate(FEATURES)}
+    for i, t in enumerate(ODD_TEXTS):
+        want = plainly(t)
+        n = max(want[0], 1)
+        got = *x[i, :5], at["distinct"][i] * n, at["most_frequent"][i] * n, np.expm1(at["longest_token"][i])
+        assert np.allclose(got, want), t
+    alone = np.vstack([described([t]) for t in ODD_TEXTS])
+    assert np.allclose(alone, x, equal_nan=True) and described([]).shape == (0, len(FEATURES))
+
+
+def test_blank_long_and_repeated_texts(spark):
+    rows = [(1, "The cat sat. It was fine!\nno end here"), (2, None), (3, ""), (4, " \n\t"), (5, "word " * 600_000), (1, "The cat sat. It was fine!\nno end here")]
     df = spark.createDataFrame([(i, t, 7.0) for i, t in rows], "doc_id long, text string, word_count double")
     got = {}
-    for r in statistics_of(df).collect():
+    for r in judge_texts(df).collect():
         got.setdefault(r.doc_id, []).append(r)
     one = got[1][0]
     assert len(got[1]) == 2 and one.word_count == 9 and one.punctuated_line_share == 0.5 and one.symbol_ratio == 2 / 37
-    assert all(got[i][0].word_count == 0 and got[i][0].features is None for i in (2, 3, 4)) and got[5][0].word_count == 200_000
+    assert all(got[i][0].word_count == 0 and got[i][0].kind is None and got[i][0].symbol_ratio is None for i in (2, 3, 4)) and got[5][0].word_count == 600_000
 
 
-def test_long_texts_are_packed_whole():
+def test_a_text_is_judged_by_all_of_it():
+    """A text of over a million characters whose last part decides its kind; and packing that reads the whole text."""
     rnd = np.random.default_rng(3)
+    made = texts(150)
+    model = BoostedTrees(KINDS).fit(described([t for _, t, _ in made]), np.array([KINDS.index(k) for *_, k in made]), np.ones(len(made)))
+    prose = "The price moved before the vote. We do not know why it was so thin, and nobody said more about it.\n" * 10_500
+    table = "a\t0.123\t0.45\n" * 160_000
+    kinds = [KINDS[i] for i in model.probabilities(described([prose, prose + table])).argmax(1)]
+    assert len(prose) > 1_000_000 and kinds == ["prose", "table"]
     noise = "".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz      \n"), 1_200_000))
-    packed = 19  # its place among the features
-    half, whole, mixed = (describe(t)[0][packed] for t in (noise[:600_000], noise, "so it was\n" * 110_000 + noise))
+    half, whole, mixed = described([noise[:600_000], noise, "so it was\n" * 110_000 + noise])[:, FEATURES.index("packed")]
     assert abs(half - whole) < 0.01 * whole and 0.4 * whole < mixed < 0.6 * whole
 
 
+def test_signals_abstain():
+    x = described(["It was over before we knew, and they said so. Who was it?", "- Harbor Cup\n- River Trophy\n- Copper Bowl", "a\t0.1\t0.2\nb\t0.3\t0.4", "█ □ � █ □ �", "x", "Harbor"])
+    assert weak_labels(x).tolist() == [0, 1, 2, 3, -1, -1]
+
+
+def test_trees_alone_judge(spark, monkeypatch):
+    rows = texts(40)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = fit_kinds(df)
+    monkeypatch.setattr(quality, "fit_kinds", lambda *a, **k: model)
+    before = sorted((r.doc_id, r.kind) for r in judge_texts(df).collect())
+    monkeypatch.setattr(quality, "signals", None)
+    monkeypatch.setattr(quality, "weak_labels", None)
+    assert sorted((r.doc_id, r.kind) for r in judge_texts(df).collect()) == before
+    monkeypatch.setattr(quality, "fit_kinds", lambda *a, **k: None)
+    assert {r.kind for r in judge_texts(df).collect()} == {None}
+
+
 def texts(n):
     rnd = np.random.default_rng(n)
     prose = "The price moved before the vote. We do not know why it was so thin, and nobody said more about it."
@@ -92,11 +135,12 @@ HAND = "/root/testdata/sf0.1"
 
 @pytest.mark.skipif(not os.path.exists(HAND), reason="needs the documents judged by hand")
 def test_hand_checked_holdout(spark):
-    docs, kinds = spark.read.parquet(f"{HAND}/documents.parquet"), spark.read.parquet(f"{HAND}/doc_kinds.parquet")
-    described = statistics_of(docs.where("pmod(doc_id, 5) = 1"))
-    model = fit_kinds(described, per_class=400)
-    held = docs.join(kinds, "doc_id").select("text", "kind").collect()
-    x, y = np.array([describe(r.text)[0] for r in held]), np.array([KINDS.index(r.kind) for r in held])
-    assert (model.probabilities(x).argmax(1) == y).mean() >= 0.95
-    assert 0.5 <= model.calibrate(x, y).temperature / TEMPERATURE <= 2
-    assert weak_label({"prose": 0.95, "list": 0.05, "table": 0, "junk": 0}) == "prose" and weak_label({"prose": 0.5, "list": 0.5, "table": 0, "junk": 0}) is None
+    """Half of the documents judged by hand calibrate; the other half, left out of everything, is what accuracy is measured on."""
+    docs, kinds = spark.read.parquet(f"{HAND}/documents.parquet"), spark.read.parquet(f"{HAND}/doc_kinds.parquet").toPandas().sort_values("doc_id")
+    known, unseen = kinds.iloc[::2], kinds.iloc[1::2]
+    ids = [int(i) for i in unseen.doc_id]
+    model = fit_kinds(docs.where(~docs.doc_id.isin(ids)), judged=spark.createDataFrame(known))
+    text = {r.doc_id: r.text for r in docs.where(docs.doc_id.isin(ids)).collect()}
+    p = model.probabilities(described([text[i] for i in ids]))
+    right = np.array([KINDS[i] for i in p.argmax(1)]) == unseen.kind.to_numpy()
+    assert right.mean() >= 0.93 and 0.25 <= model.temperature <= 8
