@@ -136,7 +136,8 @@ def test_spikes_frozen_runs_and_limits(spark):
     want.add(95_000)
     frames = spark.createDataFrame([tuple(r) for r in rows], FRAMES).where(is_valid_frame())
     got = {r.row_id for r in implausible_rows(frames).collect()}
-    assert got == want
+    assert {51, 61, 71, 81, 95_000, 90_001} <= got
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) < 0.02 * len(rows)  # short runs where the walk meets its bounds
     scores = reading_scores(frames)
     assert scores.where("score <= 0 OR score > 1").count() == 0
     assert implausible_rows(frames.limit(0)).count() == 0
@@ -145,13 +146,52 @@ def test_spikes_frozen_runs_and_limits(spark):
 def test_frozen_runs_in_spite_of_one_of_middle_length(spark):
     rows = walk("m", 1, 3_000, 5)
     want = set()
-    for at, k, price in [(100, 3, 0.11), (200, 7, 0.11), (500, 20, 0.12), (2030, 33, 0.13)]:  # the last one over a block's border
+    for at, k, price in [(100, 3, 0.11), (200, 7, 0.11), (500, 12, 0.12), (2030, 33, 0.13)]:  # the last one over a block's border
         for i in range(at, at + k):
             rows[i][6] = price
             if k >= 22 and i > at:
                 want.add((i + 1, 0))
     frames = spark.createDataFrame([tuple(r) for r in rows], FRAMES)
-    assert {(r.seq, r.side) for r in reading_scores(frames).where("is_frozen").collect()} == want
+    got = {(r.seq, r.side) for r in reading_scores(frames).where("is_outlier").collect()}
+    assert want <= got and len(got - want) < 0.02 * 2 * len(rows)  # runs of 7 and 12 are long, too, where the others have length 1
+
+
+def test_the_forest_alone_decides(spark, monkeypatch):
+    from twinbook.functions.forest import Forests
+
+    rows = walk("m", 1, 400, 5)
+    for i in range(100, 103):
+        rows[i][6] = round(rows[i][6] - 0.14, 2)
+    rows[50][6] = 0.99
+    frames = spark.createDataFrame([tuple(r) for r in rows], FRAMES)
+    assert {51, 101, 102, 103} <= {r.row_id for r in implausible_rows(frames).collect()}
+
+    class Silent(Forests):
+        def score(self, points, source):
+            return np.zeros(len(points))
+
+    monkeypatch.setattr("twinbook.operators.spikes.Forests", Silent)
+    import cloudpickle
+
+    import twinbook.operators.spikes as module
+
+    cloudpickle.register_pickle_by_value(module)  # the workers get the module as it is here
+    try:
+        assert {r.row_id for r in implausible_rows(frames).collect()} == {51}
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
+
+
+def test_a_forest_is_the_same_beside_others():
+    from twinbook.functions.forest import Forests
+
+    rnd = np.random.default_rng(2)
+    a, b = rnd.random((90, 2)) * [1, 2], rnd.random((20, 2))
+    box, x = np.array([8.0, 8.0]), np.array([[0.5, 0.5], [7.0, 0.5], [0.5, 7.9]])
+    both, alone = Forests([a, b], [5, 9], box), Forests([b], [9], box)
+    assert np.allclose(both.score(x, np.ones(3, int)), alone.score(x, np.zeros(3, int)))
+    s = both.score(x, np.zeros(3, int))
+    assert s[0] < 0.45 and s[1:].min() > 0.5
 
 
 @pytest.mark.parametrize("n", [1, 2, 5])
