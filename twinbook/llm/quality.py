@@ -218,7 +218,7 @@ def described(texts: list[str]) -> np.ndarray:
 def signals(features: np.ndarray) -> dict[str, list[np.ndarray]]:
     """Votes of short independent signals for each kind, true or abstaining; none of them knows the others."""
     f = {name: features[:, i] for i, name in enumerate(FEATURES)}
-    lines, size = np.expm1(f["lines"]), np.expm1(f["size"])
+    lines, size = np.rint(np.expm1(f["lines"])), np.rint(np.expm1(f["size"]))
     many = f["word_count"] >= 8
     return {
         "prose": [
