@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 pytest.importorskip("public_tokenizers")
 
-from twinbook.llm.mixture import fill, mix_sources  # noqa: E402
+from twinbook.llm.mixture import exact_total, fill, mix_sources  # noqa: E402
 
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -45,6 +45,27 @@ def test_fractions_come_near_their_amount(spark):
     assert abs(got["x"].tokens_used - 9_000) < 8 and abs(got["y"].tokens_used - 27_000) < 8 and got["y"].most_repeats == 2
 
 
+@given(st.dictionaries(st.sampled_from("abcdefgh"), st.tuples(st.floats(0.01, 1), st.floats(1, 1e6)), min_size=1))
+@settings(max_examples=200, deadline=None)
+def test_exact_total_is_the_largest_that_meets_all_targets(targets):
+    total = exact_total(targets)
+    weight = sum(w for w, _ in targets.values())
+    x = fill(targets, total)
+    assert all(abs(x[s] - total * w / weight) <= 1e-6 * max(1, total) for s, (w, _) in targets.items())
+    more = fill(targets, total * 1.01 + 1)
+    assert any(x < (total * 1.01 + 1) * targets[s][0] / weight - 1e-6 for s, x in more.items())
+
+
+def test_targets_are_met_by_default(spark):
+    docs = [(i, "a b c d", s) for i, s in enumerate(["x"] * 3_000 + ["y"] * 400 + ["z"] * 900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("x", 0.5, 1), ("y", 0.3, 2), ("z", 0.2, 3)], TARGETS)
+    got = {r.source: r for r in mix_sources(df, targets).shares.collect()}
+    assert all(abs(r.actual_share - r.target_share) < 0.005 for r in got.values()) and got["y"].tokens_used == 2 * got["y"].tokens_available
+    clamped = {r.source: r for r in mix_sources(df, targets, all_tokens=True).shares.collect()}
+    assert clamped["y"].actual_share < 0.3 and sum(r.tokens_used for r in clamped.values()) > sum(r.tokens_used for r in got.values())
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("x", 0.25, 3)], TARGETS)

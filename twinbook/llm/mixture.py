@@ -45,12 +45,20 @@ def fill(targets: dict[str, tuple[float, float]], total: float) -> dict[str, flo
     return amount
 
 
+def exact_total(targets: dict[str, tuple[float, float]]) -> float:
+    """The largest total of which every source that has tokens gets its share (of all such sources' shares) without exceeding its cap."""
+    able = [(w, c) for w, c in targets.values() if w > 0 and c > 0]
+    weight = sum(w for w, _ in able)
+    return min((c * weight / w for w, c in able), default=0.0)
+
+
 def mix_sources(
-    documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, vocabulary: str | None = None
+    documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, vocabulary: str | None = None, all_tokens: bool = False
 ) -> Mixture:
     """Mixture of ``documents`` (doc_id, text, source) by ``targets`` (source, target_share, max_repeats).
 
-    ``total_tokens`` defaults to all tokens of the listed sources. Each source gets its water-filled amount: every document
+    ``total_tokens`` defaults to the largest total that meets all targets (``exact_total``), or with ``all_tokens`` to all tokens of
+    the listed sources, which clamps those that have too few and gives their excess to the others. Each source gets its water-filled amount: every document
     as often as it fits wholly, and the rest from documents in the order of a seeded hash, up to the one that comes nearest
     from below. Documents of null or unlisted source take no part; texts without tokens have 0 repeats beyond the whole
     ones. A source listed twice counts with its largest share and cap; null or negative shares and caps are 0; a target
@@ -71,7 +79,9 @@ def mix_sources(
         raise ValueError(f"more than {MOST_SOURCES} target sources")
     have = {r.source: int(r.available or 0) for r in rows}
     caps = {r.source: (float(r.target_share), float(have[r.source] * r.max_repeats)) for r in rows}
-    amount = fill(caps, sum(have.values()) if total_tokens is None else total_tokens)
+    if total_tokens is None:
+        total_tokens = sum(have.values()) if all_tokens else exact_total(caps)
+    amount = fill(caps, total_tokens)
     most = {r.source: int(r.max_repeats) for r in rows}
     plan = []
     for s, x in amount.items():
