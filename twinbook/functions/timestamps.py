@@ -66,7 +66,7 @@ PLAIN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z$"
 def components(text: Column) -> Column:
     """Array of the components in the order of ``_PARTS``, or null where no branch matches. Evaluate once, in its own select."""
     packed = F.regexp_replace(text, F.lit(PATTERN), F.lit(_REPLACEMENT))
-    return F.when(packed.startswith(_MARK), F.split(F.substring(packed, 2, 100_000), _SEP))
+    return F.when(packed.startswith(_MARK), F.split(F.substr(packed, F.lit(2)), _SEP))
 
 
 def _lookup(pairs: dict[str, int]) -> Column:
