@@ -87,16 +87,16 @@ def markets(spark, rows):
 
 def test_linking_pipeline(spark):
     k = markets(spark, [
-        {"market_id": "1", "name": "Will Greg Abbott win the primary in 2028?", "event_ticker": "E", "ticker": "E-GABB", "subtitle": "Greg Abbott"},
-        {"market_id": "2", "name": "Will Ann Bell win the top 5?", "event_ticker": "E", "ticker": "E-BELL"}, {"market_id": "3", "name": None},
+        {"market_id": "1", "name": "Will Tove Lindqvist win the primary in 2028?", "event_ticker": "E", "ticker": "E-TLIN", "subtitle": "Tove Lindqvist"},
+        {"market_id": "2", "name": "Will Ida Moor win the top 5?", "event_ticker": "E", "ticker": "E-MOOR"}, {"market_id": "3", "name": None},
     ])
     p = markets(spark, [
-        {"market_id": "10", "name": "Greg Abbott wins the primary", "slug": "will-greg-abbott-win-the-2028-x"}, {"market_id": "11", "name": "Greg Abbott wins", "slug": "will-greg-abbott-win-it"},
-        {"market_id": "20", "name": "Ann Bell in the top 10", "primary_entity_name": "Ann Bell"}, {"market_id": "30", "name": "Abbott 2031 primary", "primary_entity_name": "Abbott"},
+        {"market_id": "10", "name": "Tove Lindqvist wins the primary", "slug": "will-tove-lindqvist-win-the-2028-x"}, {"market_id": "11", "name": "Tove Lindqvist wins", "slug": "will-tove-lindqvist-win-it"},
+        {"market_id": "20", "name": "Ida Moor in the top 10", "primary_entity_name": "Ida Moor"}, {"market_id": "30", "name": "Lindqvist 2031 primary", "primary_entity_name": "Lindqvist"},
     ])
     ke, pe = M.with_entity_k(k), M.with_entity_p(p)
-    assert {r.market_id: r.entity for r in ke.collect()} == {"1": "greg abbott", "2": "bell", "3": ""}
-    assert {r.market_id: r.entity for r in pe.collect()} == {"10": "greg abbott", "11": "greg abbott", "20": "ann bell", "30": "abbott"}
+    assert {r.market_id: r.entity for r in ke.collect()} == {"1": "tove lindqvist", "2": "moor", "3": ""}
+    assert {r.market_id: r.entity for r in pe.collect()} == {"10": "tove lindqvist", "11": "tove lindqvist", "20": "ida moor", "30": "lindqvist"}
     pairs = M.blocking_pairs(ke, pe)
     assert {(r.k_id, r.p_id) for r in pairs.collect()} == {("1", "10"), ("1", "11"), ("1", "30"), ("2", "20")}
     scored = M.score_pairs(M.entity_shortlist(pairs, M.features(ke), M.features(pe)))
@@ -105,7 +105,10 @@ def test_linking_pipeline(spark):
     assert 0.7 < best.confidence <= 0.99
     labels = spark.createDataFrame([("1", "10", True), ("2", "20", True), ("1", "11", False)], "k_id string, p_id string, is_match boolean")
     report = M.validation(labels, pairs, scored).collect()[0]
-    assert (report.labelled, report.as_candidate, report.as_match, report.wrong, report.recall, report.precision) == (2, 2, 1, 0, 0.5, 1.0)
+    assert (report.labelled, report.as_candidate, report.predicted, report.as_match, report.wrong, report.recall, report.precision) == (2, 2, 1, 1, 0, 0.5, 1.0)
+    other = spark.createDataFrame([("1", "11"), ("2", "20")], "k_id string, p_id string")
+    report = M.validation(labels, pairs, other).collect()[0]  # one predicted wrongly, one rightly
+    assert (report.predicted, report.as_match, report.wrong, report.recall, report.precision) == (2, 1, 1, 0.5, 0.5)
     assert M.validation(labels.limit(0), pairs, scored).collect()[0].precision == 0
     assert M.liquid(markets(spark, [{"market_id": "a", "volume": 10_000.0}, {"market_id": "b", "volume": 5.0, "volume24h": 100.0}, {"market_id": "c", "volume": 9_999.0, "volume24h": 99.0}, {"market_id": "d"}])).count() == 3
     assert M.latest_listing(k.unionByName(k)).count() == 3
@@ -113,12 +116,12 @@ def test_linking_pipeline(spark):
 
 def test_validation_counts_best_matches(spark, tmp_path):
     k = [
-        {"market_id": "1", "name": "Will Greg Abbott win the primary in 2028?", "event_ticker": "E", "ticker": "E-GABB", "subtitle": "Greg Abbott"},
-        {"market_id": "2", "name": "Will Ann Bell win the top 5?", "event_ticker": "E", "ticker": "E-BELL"},
+        {"market_id": "1", "name": "Will Tove Lindqvist win the primary in 2028?", "event_ticker": "E", "ticker": "E-TLIN", "subtitle": "Tove Lindqvist"},
+        {"market_id": "2", "name": "Will Ida Moor win the top 5?", "event_ticker": "E", "ticker": "E-MOOR"},
     ]
     p = [
-        {"market_id": "10", "name": "Greg Abbott wins the primary", "primary_entity_name": "Greg Abbott"}, {"market_id": "12", "name": "Abbott primary record", "primary_entity_name": "Abbott"},
-        {"market_id": "20", "name": "Ann Bell in the top 10", "primary_entity_name": "Ann Bell"},
+        {"market_id": "10", "name": "Tove Lindqvist wins the primary", "primary_entity_name": "Tove Lindqvist"}, {"market_id": "12", "name": "Lindqvist primary record", "primary_entity_name": "Lindqvist"},
+        {"market_id": "20", "name": "Ida Moor in the top 10", "primary_entity_name": "Ida Moor"},
     ]
     for name, rows in (("k_markets", k), ("p_markets", p)):
         markets(spark, rows).write.parquet(f"{tmp_path}/{name}.parquet")
@@ -174,6 +177,36 @@ def test_most_confident(spark):
     assert got == sorted(((i % 30 / 30, str(i)) for i in range(100)), key=lambda x: (-x[0], x[1]))[:20]
 
 
+def test_slugs_that_say_nothing(spark):
+    p = markets(spark, [{"market_id": "1", "slug": "will-the-win", "name": "Oak Fair"}, {"market_id": "2", "slug": "-the-", "subtitle": "Elm"}, {"market_id": "3", "slug": "will-the-win-x", "name": "Ash"}, {"market_id": "4"}])
+    assert {r.market_id: r.entity for r in M.with_entity_p(p).collect()} == {"1": "", "2": "elm", "3": "", "4": ""}
+
+
+@pytest.mark.parametrize(
+    ("description", "want"),
+    [
+        ("As in v1.5 the market resolves to Yes after the runoff vote.", []), ("See v1.5. The market resolves to Yes after the runoff vote. More.", ["runoff"]),
+        ("The contract will resolve at the primary election", ["primary"]), ("It is a runoff vote! Then this market resolved?", []), (None, []),
+    ],
+)
+def test_phases_of_sentences(spark, description, want):
+    assert one(spark, T.phases(F.lit("x"), F.col("y").cast("string")), y=description) == want
+
+
+def test_ratio_of_sorted_words(spark):
+    assert one(spark, T.best_ratio("x", "y"), x="a b", y="b a") == 1.0 and one(spark, T.best_ratio("x", "y"), x="abcd", y="bcde") == 0.75
+
+
+def test_pairs_by_market_and_metadata(spark):
+    pairs = spark.createDataFrame([("1", "10"), ("1", "11"), ("1", "11"), ("2", "10")], "k_id string, p_id string")
+    assert sorted((r.market_id, r.side, r.k_id, r.p_id) for r in M.pairs_of_markets(pairs).collect()) == [
+        ("1", "K", "1", "10"), ("1", "K", "1", "11"), ("10", "P", "1", "10"), ("10", "P", "2", "10"), ("11", "P", "1", "11"), ("2", "K", "2", "10")
+    ]
+    at = markets(spark, [{"market_id": "1", "name": "one", "event_ticker": "E"}, {"market_id": "10", "name": "ten", "event_title": "T", "expiration_datetime": "2026"}, {"market_id": "11"}])
+    assert {(r.k_id, r.p_id, r.k_name, r.p_name) for r in M.with_metadata(pairs.distinct(), at, ["name"]).collect()} == {("1", "10", "one", "ten"), ("1", "11", "one", None), ("2", "10", None, "ten")}
+    assert [r[0] for r in at.orderBy("market_id").select(M.event_key()).collect()] == ["ticker:E", "title:T|2026", "market:11"]
+
+
 def test_views(spark):
     df = spark.createDataFrame([("KALSHI", "A B*~", None, "x"), ("P", None, "s", "e"), ("P", None, "s", "s"), ("P", None, "s", None), ("P", None, None, "e")], "exchange_name string, ticker string, slug string, event_ticker string")
     assert [r[0] for r in df.select(contract_link(F.lit("k/"), F.lit("p/"))).collect()] == ["k/A%20B%2A~", "p/e/s", "p/s", "p/s", None]
@@ -182,9 +215,9 @@ def test_views(spark):
 
 
 def test_snapshots(spark, tmp_path):
-    at = datetime(2026, 7, 15, 19, 30, tzinfo=timezone.utc)
+    at = datetime(2026, 3, 4, 5, 6, tzinfo=timezone.utc)
     store = SnapshotStore(spark, f"file://{tmp_path}/store")
-    assert stamp(at) == "20260715T193000000000Z" and store.pairs().count() == 0 and store.backup(f"{tmp_path}/b", at) is None and store.exclusions().count() == 0
+    assert stamp(at) == "20260304T050600000000Z" and store.pairs().count() == 0 and store.backup(f"{tmp_path}/b", at) is None and store.exclusions().count() == 0
     matches = spark.createDataFrame([("1", "a", 0.9), ("1", "a", 0.8), ("2", "b", 0.7)], "k_id string, p_id string, confidence double")
     store.overwrite(matches, at)
     assert sorted((r.k_id, r.confidence, r.taker_fee_coefficient) for r in store.pairs().collect()) == [("1", 0.9, 0.05), ("2", 0.7, 0.05)]
@@ -194,4 +227,4 @@ def test_snapshots(spark, tmp_path):
     assert store.pairs().count() == 1
     assert store.unflag("2", "b", at + timedelta(seconds=4)) and not store.unflag("2", "b", at + timedelta(seconds=5))
     store.overwrite(matches, at + timedelta(seconds=6))
-    assert store.pairs().count() == 2 and store.backup(f"file://{tmp_path}/b", at).endswith("pairs_20260715T193000000000Z")
+    assert store.pairs().count() == 2 and store.backup(f"file://{tmp_path}/b", at).endswith("pairs_20260304T050600000000Z")

@@ -171,7 +171,7 @@ def test_the_forest_alone_decides(spark, monkeypatch):
             return np.zeros(len(points))
 
     monkeypatch.setattr("twinbook.operators.spikes.Forests", Silent)
-    import cloudpickle
+    from pyspark import cloudpickle
 
     import twinbook.operators.spikes as module
 

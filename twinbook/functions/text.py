@@ -62,6 +62,25 @@ def block_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def best_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The larger block ratio of two texts as they are and with sorted words; equal pairs of a batch are compared once."""
+    known: dict[tuple[str, str], float] = {}
+    out = []
+    for a, b in zip(left, right):
+        if a is None or b is None:
+            out.append(None)
+            continue
+        if (r := known.get((a, b))) is None:
+            x, y = " ".join(sorted(a.split(" "))), " ".join(sorted(b.split(" ")))
+            r = SequenceMatcher(None, a, b).ratio()
+            if r < 1 and (x, y) != (a, b):
+                r = max(r, SequenceMatcher(None, x, y).ratio())
+            known[a, b] = r
+        out.append(r)
+    return pd.Series(out, dtype="float64")
+
+
 def _i(pattern: str) -> str:
     """The pattern without regard to case and, as in Unicode texts, to the kind of letters and blanks."""
     return f"(?iuU){pattern}"
@@ -110,15 +129,18 @@ def years(*texts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: x.cast("int"))))
 
 
+#: A sentence on how a contract resolves: from the text's start or a mark and a blank on, without a mark before its verb.
+RESOLUTION = rf"(?:^|[.!?]\s+)([^.!?]*{RESOLVES}[^.!?]*)"
+
+
 def _any_matches(texts: Column, pattern: str) -> Column:
-    return F.exists(texts, lambda s: s.rlike(_i(pattern)))
+    return F.coalesce(F.exists(texts, lambda s: s.rlike(_i(pattern))), F.lit(False))
 
 
 def phases(title: Column, description: Column) -> Column:
     """Phases of an election that define the contract: those of the title, and those of sentences on how it resolves."""
-    sentences = F.filter(
-        F.split(F.coalesce(description, F.lit("")), r"(?<=[.!?])\s+"), lambda s: s.rlike(_i(RESOLVES)) & s.rlike(_i(ELECTION_CONTEXT))
-    )
+    found_in = F.regexp_extract_all(F.coalesce(description, F.lit("")), F.lit(_i(RESOLUTION)), F.lit(1))
+    sentences = F.filter(found_in, lambda s: s.rlike(_i(ELECTION_CONTEXT)))
     found = []
     for k, p in PHASES.items():
         hit = has(title, p) | _any_matches(sentences, p)
@@ -141,7 +163,3 @@ def overlap(a: Column, b: Column) -> Column:
     """Shared words over the larger number of words; 0 without words."""
     most = F.greatest(F.size(a), F.size(b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / most)
-
-
-def sorted_words(text: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(text, " ")), " ")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinbook.functions import text as T
-from twinbook.session import cut_lineage
 
 
 def latest_listing(markets: DataFrame) -> DataFrame:
@@ -53,11 +52,16 @@ def with_entity_k(markets: DataFrame) -> DataFrame:
 
 
 def with_entity_p(markets: DataFrame) -> DataFrame:
-    """Adds ``entity``: the named entity, else what the slug says, else the name."""
+    """Adds ``entity``: the named entity, else what the slug says, else, where a slug says nothing but fillers, the name."""
     slug = F.regexp_replace(F.lower("slug"), "^-+|-+$", "")
     won = F.nullif(F.regexp_extract(slug, "^will-(.+?)-win(?:-|$)", 1), F.lit(""))
-    raw = F.coalesce(_given("primary_entity_name"), F.regexp_replace(F.coalesce(won, F.nullif(slug, F.lit(""))), "-", " "), _given("name"), F.col("subtitle"))
-    return markets.withColumn("__raw", T.ascii_fold(raw)).withColumn("entity", T.normalize(F.col("__raw"))).drop("__raw")
+    said = F.coalesce(_given("primary_entity_name"), F.regexp_replace(F.coalesce(won, F.nullif(slug, F.lit(""))), "-", " "))
+    sure = _given("primary_entity_name").isNotNull() | won.isNotNull()
+    at = markets.withColumns({"__said": T.ascii_fold(said), "__else": T.ascii_fold(F.coalesce(_given("name"), F.col("subtitle"))), "__sure": sure})
+    entity = F.when(F.coalesce("__sure", F.lit(False)), T.normalize(F.col("__said"))).otherwise(
+        F.coalesce(F.nullif(T.normalize(F.col("__said")), F.lit("")), T.normalize(F.col("__else")))
+    )
+    return at.withColumn("entity", entity).drop("__said", "__else", "__sure")
 
 
 def token_frequency(p: DataFrame) -> DataFrame:
@@ -113,14 +117,17 @@ def compatible() -> Column:
 
 
 def entity_shortlist(pairs: DataFrame, k: DataFrame, p: DataFrame, most: int = 150) -> DataFrame:
-    """Per K market the pairs of best entity overlap (ties: closer lengths, then id); both sides' features as ``k`` and ``p``."""
-    at = pairs.join(k.select(F.col("market_id").alias("k_id"), F.struct("*").alias("k")), "k_id").join(
-        p.select(F.col("market_id").alias("p_id"), F.struct("*").alias("p")), "p_id"
-    )
-    a, b = T.words(F.col("k.entity")), T.words(F.col("p.entity"))
-    at = at.withColumns({"overlap": F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1)), "apart": F.abs(F.size(a) - F.size(b))})
+    """Per K market the pairs of best entity overlap (ties: closer lengths, then id); both sides' features as ``k`` and ``p``.
+
+    Only ids and words are ranked; the features join what is left.
+    """
+    of = lambda m, i, w: m.select(F.col("market_id").alias(i), T.words(F.col("entity")).alias(w))
+    at = pairs.join(of(k, "k_id", "__a"), "k_id").join(of(p, "p_id", "__b"), "p_id")
+    a, b = F.col("__a"), F.col("__b")
+    at = at.select("k_id", "p_id", (F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))).alias("overlap"), F.abs(F.size(a) - F.size(b)).alias("apart"))
     rank = F.row_number().over(Window.partitionBy("k_id").orderBy(F.desc("overlap"), "apart", "p_id"))
-    return at.withColumn("rank", rank).where(F.col("rank") <= most)
+    at = at.withColumn("rank", rank).where(F.col("rank") <= most)
+    return at.join(k.select(F.col("market_id").alias("k_id"), F.struct("*").alias("k")), "k_id").join(p.select(F.col("market_id").alias("p_id"), F.struct("*").alias("p")), "p_id")
 
 
 def with_phrases(shortlist: DataFrame) -> DataFrame:
@@ -131,31 +138,27 @@ def with_phrases(shortlist: DataFrame) -> DataFrame:
     return at.withColumn("phrase_overlap", T.overlap(T.words(F.col("k_phrase")), T.words(F.col("p_phrase"))))
 
 
-def _ratio(at: DataFrame, left: str, right: str, out: str) -> DataFrame:
-    """The larger block ratio of two texts as they are and with sorted words, computed once per distinct pair of texts."""
-    pairs = at.select(left, right).distinct()
-    both = F.greatest(T.block_ratio(left, right), T.block_ratio(T.sorted_words(F.col(left)), T.sorted_words(F.col(right))))
-    return at.join(pairs.withColumn(out, both), [left, right], "left")
-
-
 def score_pairs(shortlist: DataFrame, phrase_most: int = 25, most: int = 10) -> DataFrame:
     """Fuzzy scores of rule-checked pairs: per K market the ``phrase_most`` best by overlap, of these the ``most`` best by phrase.
 
     ``confidence`` is 0.70 of the phrase and 0.30 of the entity similarity, with years that agree or differ adding 0.02 or
-    taking 0.05, between 0 and 0.99.
+    taking 0.05, between 0 and 0.99. Entities are compared only where the overlap may be among the best (ties included).
     """
-    at = with_phrases(shortlist.where(near_years() & compatible())).withColumns({"k_entity": F.col("k.entity"), "p_entity": F.col("p.entity")})
-    at = _ratio(cut_lineage(at), "k_entity", "p_entity", "entity_ratio")
+    signal = F.when((F.size("k.text_years") == 0) | (F.size("p.text_years") == 0), 0.0).when(F.arrays_overlap("k.text_years", "p.text_years"), 0.02).otherwise(-0.05)
+    at = with_phrases(shortlist.where(near_years() & compatible())).select(
+        "k_id", "p_id", F.col("k.entity").alias("k_entity"), F.col("p.entity").alias("p_entity"), "k_phrase", "p_phrase", "phrase_overlap", signal.alias("signal")
+    )
+    tied = F.rank().over(Window.partitionBy("k_id").orderBy(F.desc("phrase_overlap")))
+    at = at.withColumn("i", tied).where(F.col("i") <= phrase_most).withColumn("entity_ratio", T.best_ratio("k_entity", "p_entity"))
     a, b = T.words(F.col("k_entity")), T.words(F.col("p_entity"))
     union = F.size(F.array_union(a, b))
     at = at.withColumn("entity_similarity", 0.65 * F.col("entity_ratio") + 0.35 * F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union))
     first = F.row_number().over(Window.partitionBy("k_id").orderBy(F.desc("phrase_overlap"), F.desc("entity_similarity"), "p_id"))
-    at = _ratio(cut_lineage(at.withColumn("i", first).where(F.col("i") <= phrase_most).drop("i")), "k_phrase", "p_phrase", "phrase_ratio")
+    at = at.withColumn("i", first).where(F.col("i") <= phrase_most).withColumn("phrase_ratio", T.best_ratio("k_phrase", "p_phrase"))
     empty = (F.col("k_phrase") == "") | (F.col("p_phrase") == "")
     at = at.withColumn("phrase_similarity", F.when(empty, 0.0).otherwise(0.75 * F.col("phrase_overlap") + 0.25 * F.col("phrase_ratio")))
     second = F.row_number().over(Window.partitionBy("k_id").orderBy(F.desc("phrase_similarity"), F.desc("entity_similarity"), "p_id"))
-    signal = F.when((F.size("k.text_years") == 0) | (F.size("p.text_years") == 0), 0.0).when(F.arrays_overlap("k.text_years", "p.text_years"), 0.02).otherwise(-0.05)
-    score = F.least(F.greatest(0.7 * F.col("phrase_similarity") + 0.3 * F.col("entity_similarity") + signal, F.lit(0.0)), F.lit(0.99))
+    score = F.least(F.greatest(0.7 * F.col("phrase_similarity") + 0.3 * F.col("entity_similarity") + F.col("signal"), F.lit(0.0)), F.lit(0.99))
     return at.withColumn("i", second).where(F.col("i") <= most).select("k_id", "p_id", "k_phrase", "p_phrase", "phrase_similarity", "entity_similarity", score.alias("confidence"))
 
 
@@ -209,17 +212,36 @@ def misses(labels: DataFrame, k: DataFrame, p: DataFrame, candidates: DataFrame,
 
 
 def validation(labels: DataFrame, candidates: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row: labelled matches, how many are candidates and best matches, and how many best matches are labelled false."""
+    """One row on the labelled matches: how many are candidates, how many of these have a best match of their K market (``predicted``),
+    and how many are it. ``recall`` is of all labelled, ``precision`` of the predicted; ``wrong`` counts best matches that are
+    labelled false."""
     marked = labels.join(candidates.select("k_id", "p_id", F.lit(True).alias("c")).distinct(), ["k_id", "p_id"], "left").join(
-        matches.select("k_id", "p_id", F.lit(True).alias("m")).distinct(), ["k_id", "p_id"], "left"
+        matches.select("k_id", F.col("p_id").alias("best")).distinct(), "k_id", "left"
     )
-    true = F.col("is_match")
+    true, found, right = F.col("is_match"), F.col("is_match") & F.col("c"), F.col("best") == F.col("p_id")
     counts = marked.agg(
-        F.count_if(true).alias("labelled"), F.count_if(true & F.col("c")).alias("as_candidate"), F.count_if(true & F.col("m")).alias("as_match"),
-        F.count_if(~true & F.col("m")).alias("wrong"),
+        F.count_if(true).alias("labelled"), F.count_if(found).alias("as_candidate"), F.count_if(found & F.col("best").isNotNull()).alias("predicted"),
+        F.count_if(found & right).alias("as_match"), F.count_if(~true & right).alias("wrong"),
     )
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), b.cast("double")), F.lit(0.0))
-    return counts.select(
-        "*", share("as_candidate", F.col("labelled")).alias("candidate_recall"), share("as_match", F.col("labelled")).alias("recall"),
-        share("as_match", F.col("as_match") + F.col("wrong")).alias("precision"),
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0)).alias
+    return counts.select("*", share("as_candidate", "labelled")("candidate_recall"), share("as_match", "labelled")("recall"), share("as_match", "predicted")("precision"))
+
+
+def event_key() -> Column:
+    """What groups markets of one event: its ticker, else title and expiration, else the market itself."""
+    return F.coalesce(
+        F.concat(F.lit("ticker:"), _given("event_ticker")), F.concat(F.lit("title:"), _given("event_title"), F.lit("|"), F.coalesce("expiration_datetime", F.lit(""))),
+        F.concat(F.lit("market:"), F.col("market_id")),
     )
+
+
+def pairs_of_markets(pairs: DataFrame) -> DataFrame:
+    """One row per market and pair that it is in, all pairs kept: ``market_id``, ``side``, ``k_id``, ``p_id``."""
+    sides = F.inline(F.array(F.struct(F.col("k_id").alias("market_id"), F.lit("K").alias("side")), F.struct(F.col("p_id").alias("market_id"), F.lit("P").alias("side"))))
+    return pairs.select("k_id", "p_id", sides).distinct()
+
+
+def with_metadata(pairs: DataFrame, markets: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs with ``columns`` of both sides' markets as ``k_<column>`` and ``p_<column>``, null where a market is unknown."""
+    of = lambda s: markets.select(F.col("market_id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    return pairs.join(of("k"), "k_id", "left").join(of("p"), "p_id", "left")

@@ -9,7 +9,9 @@ from twinbook.functions import text as T
 from twinbook.operators import matching as M
 from twinbook.operators.instants import with_instant
 from twinbook.operators.views import contract_link
-from twinbook.sources.catalogs import envelope_rows, parse_k
+from twinbook.sources.catalogs import envelope_rows, parse_k, parse_p
+from twinbook.plans.instant_sql import instants
+from twinbook.session import cut_lineage
 from twinbook.sources.tables import table
 
 
@@ -71,7 +73,7 @@ def title_rules(spark: SparkSession, sf: str) -> DataFrame:
     return _all(spark, sf).select(
         "exchange_name", "market_id", T.has(name, T.MARGIN).alias("margin"), T.has(name, T.CAMPAIGN).alias("campaign"),
         T.has(name, T.NOMINATION_WIN).alias("nomination_win"), T.has(name, T.BALLOT).alias("ballot"), T.has(name, T.ELECTION_WIN).alias("election_win"),
-        F.array_join(T.titles(name), ",").alias("titles"), F.array_join(T.phases(context, F.lit(None).cast("string")), ",").alias("title_phases"),
+        F.array_join(T.titles(name), ",").alias("titles"), F.array_join(T.phases(context, F.col("description")), ",").alias("phases"),
     )
 
 
@@ -81,8 +83,11 @@ def entity_extract(spark: SparkSession, sf: str) -> DataFrame:
     return k.unionByName(p)
 
 
+_YEAR_FIELDS = ("name", "subtitle", "description", "ticker", "slug", "event_ticker", "expiration_datetime")
+
+
 def market_years(spark: SparkSession, sf: str) -> DataFrame:
-    return _all(spark, sf).select("exchange_name", "market_id", F.array_join(T.years(F.col("name"), F.col("subtitle"), F.col("description")).cast("array<string>"), ",").alias("years"))
+    return _all(spark, sf).select("exchange_name", "market_id", F.array_join(T.years(*[F.col(c) for c in _YEAR_FIELDS]).cast("array<string>"), ",").alias("years"))
 
 
 def token_frequency(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,8 +99,8 @@ def blocking_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _shortlist(spark: SparkSession, sf: str) -> DataFrame:
-    k, p = M.with_entity_k(_k(spark, sf)), M.with_entity_p(_p(spark, sf))
-    return M.entity_shortlist(M.blocking_pairs(k, p), M.features(k), M.features(p))
+    k, p = cut_lineage(M.features(M.with_entity_k(_k(spark, sf)))), cut_lineage(M.features(M.with_entity_p(_p(spark, sf))))
+    return M.entity_shortlist(M.blocking_pairs(k, p), k, p)
 
 
 def entity_prefilter(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,10 +141,10 @@ def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     """Labels, candidates and best matches of the labelled K markets: matching is per K market, so only these are paired, with all P
     markets; entities and frequencies are of the whole tables."""
     labels = _labels(spark, sf)
-    k = M.with_entity_k(_k(spark, sf)).join(labels.select(F.col("k_id").alias("market_id")).distinct(), "market_id", "left_semi")
-    p = M.with_entity_p(_p(spark, sf))
+    k = cut_lineage(M.features(M.with_entity_k(_k(spark, sf)).join(labels.select(F.col("k_id").alias("market_id")).distinct(), "market_id", "left_semi")))
+    p = cut_lineage(M.features(M.with_entity_p(_p(spark, sf))))
     pairs = M.blocking_pairs(k, p)
-    matches = M.best_match(M.score_pairs(M.entity_shortlist(pairs, M.features(k), M.features(p))))
+    matches = M.best_match(M.score_pairs(M.entity_shortlist(pairs, k, p)))
     return labels, pairs, matches
 
 
@@ -160,6 +165,22 @@ def expiration_mismatch(spark: SparkSession, sf: str, most_days: float = 30.0) -
     return at.select("k_id", "p_id", F.coalesce("pe", "ke").alias("ends_us"), F.coalesce(apart > most_days, F.lit(False)).alias("mismatch"))
 
 
+def expiration_mismatch_count(spark: SparkSession, sf: str) -> DataFrame:
+    return expiration_mismatch(spark, sf).agg(F.count_if("mismatch").alias("mismatches"), F.count("*").alias("pairs"))
+
+
+def event_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return _all(spark, sf).groupBy("exchange_name", M.event_key().alias("event_key")).agg(F.count("*").alias("markets"))
+
+
+def pair_multimap(spark: SparkSession, sf: str) -> DataFrame:
+    return M.pairs_of_markets(_labels(spark, sf))
+
+
+def pair_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return M.with_metadata(_labels(spark, sf).select("k_id", "p_id"), _all(spark, sf), ["name", "status", "volume", "volume24h", "event_ticker"])
+
+
 def contract_links(spark: SparkSession, sf: str) -> DataFrame:
     return _all(spark, sf).select("exchange_name", "market_id", contract_link(F.lit("https://k.example/markets/"), F.lit("https://p.example/event/")).alias("link"))
 
@@ -174,6 +195,16 @@ def envelope_parse(spark: SparkSession, sf: str) -> DataFrame:
     return parse_k(envelope_rows(pages, "payload", "markets", "data")).select("row_id", "market_id", "name", "subtitle", "description", "category", "volume", "volume24h", "status")
 
 
+def envelope_parse_p(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.struct(
+        F.col("slug").alias("slug"), F.col("name").alias("question"), F.col("primary_entity_name").alias("participantName"), "description", "category",
+        F.col("event_ticker").alias("eventSlug"), F.struct(F.col("volume").cast("string").alias("amount")).alias("volume"), F.col("volume24h").alias("volume24hr"), "status",
+    )
+    payload = F.to_json(F.struct(F.array(raw).alias("results")))
+    pages = _p(spark, sf).select("row_id", payload.alias("payload"))
+    return parse_p(envelope_rows(pages, "payload", "markets", "data", "results")).select("row_id", "market_id", "name", "description", "category", "primary_entity_name", "event_ticker", "volume", "volume24h", "status")
+
+
 def multi_get(spark: SparkSession, sf: str) -> DataFrame:
     return _k(spark, sf).join(_labels(spark, sf), F.col("market_id") == F.col("k_id"), "left_semi").select("market_id", "row_id", "name", "volume")
 
@@ -183,7 +214,8 @@ QUERIES = {
     for f in (
         dedup_catalog, catalog_coverage, liquid_markets, shrink_metrics, discover_top, normalize_titles, title_numbers, title_rules, entity_extract,
         market_years, token_frequency, blocking_candidates, entity_prefilter, rule_filter, phrase_overlap, fuzzy_scores, best_match,
-        summary_top, rules_check, snapshot_minus_exclusions, validation_report, validation_misses, expiration_mismatch, contract_links, envelope_parse, multi_get,
+        summary_top, rules_check, snapshot_minus_exclusions, validation_report, validation_misses, expiration_mismatch, expiration_mismatch_count,
+        event_keys, pair_multimap, pair_metadata, contract_links, envelope_parse, envelope_parse_p, multi_get,
     )
 }
 
@@ -219,7 +251,7 @@ def _joined(x: str) -> str:
     return f"coalesce(array_to_string({x}, ','), '')"
 
 
-_YEARS = f"list_sort(list_distinct(list_transform(regexp_extract_all(concat_ws(' ', name, subtitle, description), '{T.YEAR}'), lambda v: CAST(v AS INTEGER))))"
+_YEARS = f"list_sort(list_distinct(list_transform(regexp_extract_all(concat_ws(' ', {', '.join(_YEAR_FIELDS)}), '{T.YEAR}'), lambda v: CAST(v AS INTEGER))))"
 _ENTITY = f"""{_LATEST},
   s AS (SELECT event_ticker, count(*) > 1 AS several FROM k WHERE nullif(event_ticker, '') IS NOT NULL GROUP BY 1),
   kx AS (SELECT k.*, coalesce(s.several, false) AS several,
@@ -227,7 +259,9 @@ _ENTITY = f"""{_LATEST},
               ELSE split_part(ticker, '-', -1) END AS suffix FROM k LEFT JOIN s ON k.event_ticker = s.event_ticker),
   ke AS (SELECT *, {_normal("CASE WHEN several THEN coalesce(nullif(subtitle, ''), nullif(primary_entity_name, ''), suffix) ELSE coalesce(nullif(primary_entity_name, ''), nullif(subtitle, ''), name) END")} AS entity FROM kx),
   ps AS (SELECT *, regexp_replace(lower(slug), '^-+|-+$', '', 'g') AS sl FROM p),
-  pe AS (SELECT *, {_normal("coalesce(nullif(primary_entity_name, ''), replace(coalesce(nullif(regexp_extract(sl, '^will-(.+?)-win(?:-|$)', 1), ''), nullif(sl, '')), '-', ' '), nullif(name, ''), subtitle)")} AS entity FROM ps)"""
+  pw AS (SELECT *, nullif(regexp_extract(sl, '^will-(.+?)-win(?:-|$)', 1), '') AS won FROM ps),
+  pe AS (SELECT *, CASE WHEN nullif(primary_entity_name, '') IS NOT NULL THEN {_normal("primary_entity_name")} WHEN won IS NOT NULL THEN {_normal("replace(won, '-', ' ')")}
+         ELSE coalesce(nullif({_normal("replace(sl, '-', ' ')")}, ''), {_normal("coalesce(nullif(name, ''), subtitle)")}) END AS entity FROM pw)"""
 _WORDS = "list_distinct(list_filter(string_split({0}, ' '), lambda t: t <> ''))"
 _BLOCK = f"""{_ENTITY},
   df AS (SELECT token, count(*) AS df FROM (SELECT unnest(string_split(entity, ' ')) AS token FROM pe) WHERE token <> '' GROUP BY 1),
@@ -245,9 +279,25 @@ def _kept(x: str) -> str:
     return f"array_to_string(list_filter(coalesce({_tokens(x)}, []), lambda t: NOT list_contains(sh, t) AND NOT list_contains({_PFILL}, t) AND NOT regexp_matches(t, '^(?:19|20)[0-9]{{2}}$')), ' ')"
 
 
-_PHASES = ", ".join(
-    f"CASE WHEN {_has('cx', p)}" + (f" OR ({_has('cx', T.NOMINATION)} AND {_has('cx', T.ELECTION_CONTEXT)})" if k == "primary" else "") + f" THEN '{k}' END" for k, p in T.PHASES.items()
-)
+def _in_sentences(pattern: str) -> str:
+    return f"coalesce(len(list_filter(sentences, lambda x: regexp_matches(x, '(?i){pattern}'))) > 0, false)"
+
+
+_SENTENCES = f"list_filter(regexp_extract_all(coalesce(description, ''), '(?i){T.RESOLUTION}', 1), lambda x: regexp_matches(x, '(?i){T.ELECTION_CONTEXT}'))"
+_PHASES = "coalesce(array_to_string([" + ", ".join(
+    f"CASE WHEN {_has('cx', p)} OR {_in_sentences(p)}" + (f" OR ({_has('cx', T.NOMINATION)} AND {_has('cx', T.ELECTION_CONTEXT)})" if k == "primary" else "") + f" THEN '{k}' END" for k, p in T.PHASES.items()
+) + "], ','), '')"
+_FLAGS = ", ".join(f"{_has('name', getattr(T, p.upper()))} AS {p}" for p in ("margin", "campaign", "nomination_win", "ballot", "election_win"))
+_TITLES = "coalesce(array_to_string([" + ", ".join(f"CASE WHEN {_has('name', p)} THEN '{k}' END" for k, p in T.TITLES.items()) + "], ','), '')"
+_THRESHOLDS = _joined("flatten([" + ", ".join(_nums("name", p) for p in T.THRESHOLDS) + "])")
+_DISTRICTS = _joined(f"list_transform(regexp_extract_all(name, '(?i){T.DISTRICT}', 1), lambda x: upper(substr(x, 1, 3)) || regexp_extract(x, '-0?([0-9]+)$', 1))")
+_RULES = f"""{_PREFILTER},
+  fx AS (SELECT *, concat_ws(' ', name, event_title) AS cx, {_SENTENCES} AS sentences FROM (SELECT * EXCLUDE (several, suffix, entity) FROM ke UNION ALL BY NAME SELECT * EXCLUDE (sl, won, entity) FROM pe)),
+  ft AS (SELECT market_id, {_FLAGS}, {_TITLES} AS titles, {_PHASES} AS phases, {_THRESHOLDS} AS thresholds, {_joined(_nums('name', T.STAGE))} AS stages, {_joined(_nums('name', T.BEFORE_YEAR))} AS before_years, {_DISTRICTS} AS districts, {_YEARS} AS years FROM fx)"""
+_BOTH = lambda c: f"(k.{c} = '' OR p.{c} = '' OR k.{c} = p.{c})"
+_EXPIRATIONS = f"""{_LATEST}, {instants("ik", "k", "b.expiration_datetime", "b.market_id")}, {instants("ip", "p", "b.expiration_datetime", "b.market_id")},
+  w AS (SELECT k_market_id AS k_id, p_market_id AS p_id, coalesce(b.utc_us, a.utc_us) AS ends_us, coalesce(abs(a.utc_us - b.utc_us) / 86400000000 > 30, false) AS mismatch
+        FROM pair_labels JOIN k ON k.market_id = k_market_id JOIN p ON p.market_id = p_market_id LEFT JOIN ik a ON a.market_id = k_market_id LEFT JOIN ip b ON b.market_id = p_market_id)"""
 SQL = {
     "dedup_catalog": f"WITH {_LATEST} SELECT exchange_name, market_id, row_id, name, status FROM m",
     "catalog_coverage": """SELECT 'K' AS venue, count(*) AS raw_rows, count(DISTINCT market_id) AS unique_ids, count(*) - count(DISTINCT market_id) AS duplicate_rows FROM k_markets
@@ -258,13 +308,18 @@ SQL = {
         SELECT exchange_name, count(*) AS total, count(*) FILTER (WHERE ok) AS liquid, round(1 - count(*) FILTER (WHERE ok) / count(*), 9) AS shrink FROM f GROUP BY 1""",
     "discover_top": f"WITH {_LATEST} SELECT exchange_name, market_id, volume, volume24h FROM m ORDER BY coalesce(volume, 0) DESC, coalesce(volume24h, 0) DESC, market_id LIMIT 20",
     "normalize_titles": f"WITH {_LATEST} SELECT exchange_name, market_id, {_normal('name')} AS normalized FROM m",
-    "title_numbers": f"""WITH {_LATEST} SELECT exchange_name, market_id, {_joined("flatten([" + ", ".join(_nums('name', p) for p in T.THRESHOLDS) + "])")} AS thresholds,
-        {_joined(_nums('name', T.STAGE))} AS stages, {_joined(_nums('name', T.BEFORE_YEAR))} AS before_years,
-        {_joined(f"list_transform(regexp_extract_all(name, '(?i){T.DISTRICT}', 1), lambda x: upper(substr(x, 1, 3)) || regexp_extract(x, '-0?([0-9]+)$', 1))")} AS districts FROM m""",
-    "title_rules": f"""WITH {_LATEST}, x AS (SELECT *, concat_ws(' ', name, event_title) AS cx FROM m) SELECT exchange_name, market_id, {_has('name', T.MARGIN)} AS margin, {_has('name', T.CAMPAIGN)} AS campaign,
-        {_has('name', T.NOMINATION_WIN)} AS nomination_win, {_has('name', T.BALLOT)} AS ballot, {_has('name', T.ELECTION_WIN)} AS election_win,
-        coalesce(array_to_string([{', '.join(f"CASE WHEN {_has('name', p)} THEN '{k}' END" for k, p in T.TITLES.items())}], ','), '') AS titles,
-        coalesce(array_to_string([{_PHASES}], ','), '') AS title_phases FROM x""",
+    "title_numbers": f"""WITH {_LATEST} SELECT exchange_name, market_id, {_THRESHOLDS} AS thresholds,
+        {_joined(_nums('name', T.STAGE))} AS stages, {_joined(_nums('name', T.BEFORE_YEAR))} AS before_years, {_DISTRICTS} AS districts FROM m""",
+    "title_rules": f"""WITH {_LATEST}, x AS (SELECT *, concat_ws(' ', name, event_title) AS cx, {_SENTENCES} AS sentences FROM m) SELECT exchange_name, market_id, {_FLAGS}, {_TITLES} AS titles, {_PHASES} AS phases FROM x""",
+    "rule_filter": f"""WITH {_RULES} SELECT k_id, p_id FROM g JOIN ft k ON k.market_id = k_id JOIN ft p ON p.market_id = p_id
+        WHERE (len(k.years) = 0 OR len(p.years) = 0 OR len(list_filter(k.years, lambda x: len(list_filter(p.years, lambda y: abs(x - y) <= 1)) > 0)) > 0)
+        AND k.margin = p.margin AND k.stages = p.stages AND k.phases = p.phases AND {_BOTH('thresholds')} AND {_BOTH('before_years')} AND {_BOTH('districts')} AND {_BOTH('titles')}
+        AND NOT ((k.campaign AND NOT k.nomination_win AND p.nomination_win AND NOT p.campaign) OR (p.campaign AND NOT p.nomination_win AND k.nomination_win AND NOT k.campaign))
+        AND NOT ((k.ballot AND p.election_win AND NOT p.ballot) OR (p.ballot AND k.election_win AND NOT k.ballot))""",
+    "event_keys": f"""WITH {_LATEST} SELECT exchange_name, coalesce('ticker:' || nullif(event_ticker, ''), 'title:' || nullif(event_title, '') || '|' || coalesce(expiration_datetime, ''), 'market:' || market_id) AS event_key, count(*) AS markets FROM m GROUP BY 1, 2""",
+    "pair_multimap": """SELECT DISTINCT k_market_id AS k_id, p_market_id AS p_id, k_market_id AS market_id, 'K' AS side FROM pair_labels UNION ALL SELECT DISTINCT k_market_id, p_market_id, p_market_id, 'P' FROM pair_labels""",
+    "pair_metadata": f"""WITH {_LATEST} SELECT k_market_id AS k_id, p_market_id AS p_id, a.name AS k_name, a.status AS k_status, a.volume AS k_volume, a.volume24h AS k_volume24h, a.event_ticker AS k_event_ticker,
+        b.name AS p_name, b.status AS p_status, b.volume AS p_volume, b.volume24h AS p_volume24h, b.event_ticker AS p_event_ticker FROM pair_labels LEFT JOIN m a ON a.market_id = k_market_id LEFT JOIN m b ON b.market_id = p_market_id""",
     "entity_extract": f"WITH {_ENTITY} SELECT exchange_name, market_id, entity, suffix FROM ke UNION ALL SELECT exchange_name, market_id, entity, NULL FROM pe",
     "market_years": f"WITH {_LATEST} SELECT exchange_name, market_id, {_joined(_YEARS)} AS years FROM m",
     "token_frequency": f"WITH {_BLOCK} SELECT token, df FROM df",
@@ -275,12 +330,11 @@ SQL = {
         j AS (SELECT *, {_WORDS.format('k_phrase')} AS x, {_WORDS.format('p_phrase')} AS y FROM i)
         SELECT k_id, p_id, k_phrase, p_phrase, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y)) / greatest(len(x), len(y)), 9) END AS phrase_overlap FROM j""",
     "snapshot_minus_exclusions": "SELECT k_market_id AS k_id, p_market_id AS p_id FROM pair_labels l WHERE NOT EXISTS (SELECT 1 FROM pair_labels x WHERE NOT x.is_match AND x.k_market_id = l.k_market_id AND x.p_market_id = l.p_market_id)",
-    "validation_report": f"""WITH {_BLOCK}, v AS (SELECT is_match, (k_market_id, p_market_id) IN (SELECT (k_id, p_id) FROM b) AS c FROM pair_labels),
-        w AS (SELECT count(*) FILTER (WHERE is_match) AS labelled, count(*) FILTER (WHERE is_match AND c) AS as_candidate, count(*) FILTER (WHERE is_match AND c) AS as_match, count(*) FILTER (WHERE NOT is_match AND c) AS wrong FROM v)
-        SELECT *, coalesce(as_candidate / nullif(labelled, 0), 0) AS candidate_recall, coalesce(as_match / nullif(labelled, 0), 0) AS recall, coalesce(as_match / nullif(as_match + wrong, 0), 0) AS precision FROM w""",
-    "expiration_mismatch": f"""WITH {_LATEST}, e AS (SELECT market_id, CASE WHEN regexp_matches(expiration_datetime, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]+)?Z$') THEN epoch_us(TRY_CAST(expiration_datetime AS TIMESTAMPTZ)) END AS us FROM m)
-        SELECT k_market_id AS k_id, p_market_id AS p_id, coalesce(b.us, a.us) AS ends_us, coalesce(abs(a.us - b.us) / 86400000000 > 30, false) AS mismatch
-        FROM pair_labels JOIN e a ON a.market_id = k_market_id JOIN e b ON b.market_id = p_market_id""",
+    "expiration_mismatch": f"WITH {_EXPIRATIONS} SELECT k_id, p_id, ends_us, mismatch FROM w",
+    "expiration_mismatch_count": f"WITH {_EXPIRATIONS} SELECT count(*) FILTER (WHERE mismatch) AS mismatches, count(*) AS pairs FROM w",
+    "envelope_parse_p": f"""WITH {_LATEST}, x AS (SELECT *, nullif(primary_entity_name, '') AS o, coalesce(name, slug) AS q, nullif(description, '') AS de FROM p WHERE slug IS NOT NULL)
+        SELECT row_id, slug AS market_id, CASE WHEN o IS NOT NULL AND NOT contains(lower(q), lower(o)) THEN coalesce(nullif(trim(regexp_extract(de, '^((?s:.)*?[.!?])(?:\\s+|$)', 1), ' '), ''), nullif(trim(de, ' '), ''), q || ': ' || o) ELSE q END AS name,
+               de AS description, coalesce(category, 'Other') AS category, o AS primary_entity_name, nullif(event_ticker, '') AS event_ticker, volume, volume24h, nullif(status, '') AS status FROM x""",
     "envelope_parse": f"""WITH {_LATEST} SELECT row_id, market_id, coalesce(name, subtitle, market_id) AS name, nullif(subtitle, '') AS subtitle, nullif(description, '') AS description, coalesce(category, 'Other') AS category, volume, volume24h, nullif(status, '') AS status FROM k""",
     "multi_get": f"WITH {_LATEST} SELECT market_id, row_id, name, volume FROM k WHERE market_id IN (SELECT k_market_id FROM pair_labels)",
     "contract_links": f"""WITH {_LATEST} SELECT exchange_name, market_id, CASE WHEN exchange_name = 'KALSHI' THEN 'https://k.example/markets/' || url_encode(ticker)
