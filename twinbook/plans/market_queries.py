@@ -11,7 +11,7 @@ from twinbook.operators.instants import with_instant
 from twinbook.operators.views import contract_link
 from twinbook.sources.catalogs import envelope_rows, parse_k, parse_p
 from twinbook.plans.instant_sql import instants
-from twinbook.session import cut_lineage
+from twinbook.session import cut_lineage, widened
 from twinbook.sources.tables import table
 
 
@@ -99,7 +99,7 @@ def blocking_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _shortlist(spark: SparkSession, sf: str) -> DataFrame:
-    k, p = cut_lineage(M.features(M.with_entity_k(_k(spark, sf)))), cut_lineage(M.features(M.with_entity_p(_p(spark, sf))))
+    k, p = (cut_lineage(M.features(x)) for x in (M.with_entity_k(widened(_k(spark, sf))), M.with_entity_p(widened(_p(spark, sf)))))
     return M.entity_shortlist(M.blocking_pairs(k, p), k, p)
 
 

@@ -50,3 +50,10 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that costs far more than moving its rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def widened(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over a given number of partitions (by ``columns``), which are not merged for being small: for work on few rows that
+    costs far more than moving them."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
