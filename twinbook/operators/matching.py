@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinbook.functions import text as T
-from twinbook.session import widened
+from twinbook.session import cut_lineage, widened
 
 
 def latest_listing(markets: DataFrame) -> DataFrame:
@@ -146,16 +146,16 @@ def score_pairs(shortlist: DataFrame, phrase_most: int = 25, most: int = 10) ->
     taking 0.05, between 0 and 0.99. Entities are compared only where the overlap may be among the best (ties included).
     """
     signal = F.when((F.size("k.text_years") == 0) | (F.size("p.text_years") == 0), 0.0).when(F.arrays_overlap("k.text_years", "p.text_years"), 0.02).otherwise(-0.05)
-    at = with_phrases(widened(shortlist.where(near_years() & compatible()), "k_id")).select(
+    at = cut_lineage(with_phrases(widened(shortlist.where(near_years() & compatible()), "k_id")).select(
         "k_id", "p_id", F.col("k.entity").alias("k_entity"), F.col("p.entity").alias("p_entity"), "k_phrase", "p_phrase", "phrase_overlap", signal.alias("signal")
-    )
+    ))
     tied = F.rank().over(Window.partitionBy("k_id").orderBy(F.desc("phrase_overlap")))
     at = widened(at.withColumn("i", tied).where(F.col("i") <= phrase_most), "k_id").withColumn("entity_ratio", T.best_ratio("k_entity", "p_entity"))
     a, b = T.words(F.col("k_entity")), T.words(F.col("p_entity"))
     union = F.size(F.array_union(a, b))
     at = at.withColumn("entity_similarity", 0.65 * F.col("entity_ratio") + 0.35 * F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union))
     first = F.row_number().over(Window.partitionBy("k_id").orderBy(F.desc("phrase_overlap"), F.desc("entity_similarity"), "p_id"))
-    at = widened(at.withColumn("i", first).where(F.col("i") <= phrase_most), "k_id").withColumn("phrase_ratio", T.best_ratio("k_phrase", "p_phrase"))
+    at = widened(cut_lineage(at.withColumn("i", first).where(F.col("i") <= phrase_most)), "k_id").withColumn("phrase_ratio", T.best_ratio("k_phrase", "p_phrase"))
     empty = (F.col("k_phrase") == "") | (F.col("p_phrase") == "")
     at = at.withColumn("phrase_similarity", F.when(empty, 0.0).otherwise(0.75 * F.col("phrase_overlap") + 0.25 * F.col("phrase_ratio")))
     second = F.row_number().over(Window.partitionBy("k_id").orderBy(F.desc("phrase_similarity"), F.desc("entity_similarity"), "p_id"))
