@@ -213,3 +213,23 @@ def test_stream_of_minutes_is_the_batch(spark, tmp_path):
     kept, _ = S.accepted_frames(first)
     want = {(r.market_id, r.minute_s): r for r in late_minutes(kept.drop("minute_s", "late_s")).final.collect()}
     assert {k: (r.frame_count, r.low_bid, r.high_bid, r.low_ask, r.high_ask) for k, r in last.items()} == {k: (r.frame_count, r.low_bid, r.high_bid, r.low_ask, r.high_ask) for k, r in want.items()}
+
+
+def test_ranges_of_a_hot_key(spark):
+    """Most rows are one market's, some have no market, one lies in a range of its own: windows by range give what whole windows give."""
+    from pyspark.sql import Window
+
+    from twinbook.operators.ranged import HALO, PART, ranged, with_halo
+
+    rows = [("hot", i, i % 7) for i in range(3_000)] + [(None, i, i % 5) for i in range(1_500)] + [("cold", i, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "market_id string, us long, v long")
+    whole = Window.partitionBy("market_id").orderBy("us")
+    want = sorted(map(tuple, df.select("market_id", "us", F.lag("v").over(whole), F.sum("v").over(whole.rowsBetween(-40, 0))).collect()), key=str)
+    at = ranged(df, "market_id", "us")
+    assert at.where("market_id = 'hot'").select(PART).distinct().count() > 1
+    part = Window.partitionBy("market_id", PART).orderBy("us")
+    got = with_halo(at, "market_id", ["us"], 40).select("*", F.lag("v").over(part).alias("l"), F.sum("v").over(part.rowsBetween(-40, 0)).alias("s")).where(~F.col(HALO))
+    assert sorted(map(tuple, got.select("market_id", "us", "l", "s").collect()), key=str) == want
+    kept = with_halo(at, "market_id", ["us"], 1, F.col("v") == 0).withColumn("last", F.last(F.when(F.col("v") == 0, F.col("us")), True).over(part.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col(HALO))
+    assert kept.where("market_id = 'hot' AND last <> us - us % 7").count() == 0
+    assert with_halo(ranged(df.limit(0), "market_id", "us"), "market_id", ["us"], 3).count() == 0

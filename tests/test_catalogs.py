@@ -228,3 +228,24 @@ def test_snapshots(spark, tmp_path):
     assert store.unflag("2", "b", at + timedelta(seconds=4)) and not store.unflag("2", "b", at + timedelta(seconds=5))
     store.overwrite(matches, at + timedelta(seconds=6))
     assert store.pairs().count() == 2 and store.backup(f"file://{tmp_path}/b", at).endswith("pairs_20260304T050600000000Z")
+
+
+def test_matcher_run(spark, tmp_path):
+    from twinbook.plans.matcher import run_matcher
+
+    at = datetime(2026, 3, 4, tzinfo=timezone.utc)
+    store = SnapshotStore(spark, f"file://{tmp_path}/run")
+    k = markets(spark, [{"market_id": "1", "name": "Will Tove Lindqvist win the primary?", "primary_entity_name": "Tove Lindqvist"}, {"market_id": "2", "name": "Ida Moor and Eli win?", "primary_entity_name": "Ida Moor & Eli", "event_title": "Best couple"}, {"market_id": "3", "name": "x", "volume": 1.0}])
+    p = markets(spark, [{"market_id": "10", "name": "Tove Lindqvist wins the primary", "primary_entity_name": "Tove Lindqvist"}, {"market_id": "20", "name": "Ida Moor wins", "primary_entity_name": "Ida Moor"}])
+    store.flag("1", "10", at)
+    got = run_matcher(store, k, p, at + timedelta(seconds=1)).collect()
+    assert [(r.k_markets, r.p_markets, r.matches, r.needs_review, r.excluded, r.pairs) for r in got] == [(2, 2, 2, 1, 1, 1)]
+    assert [(r.k_id, r.p_id) for r in store.pairs().collect()] == [("2", "20")]
+
+
+def test_single_answers(spark):
+    from twinbook.sources.catalogs import parse_k, single_rows
+
+    answers = ['{"market": {"ticker": "A"}}', '{"markets": [{"ticker": "B"}, {"ticker": "C"}]}', '{"ticker": "D"}', '{"market": null}', "no", None, "[]"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(answers)], "i int, payload string")
+    assert {r.i: r.market_id for r in parse_k(single_rows(df, "payload", "markets")).collect()} == {0: "A", 1: "B", 2: "D"}

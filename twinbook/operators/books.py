@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinbook.operators.frames import is_valid_frame
+from twinbook.operators.ranged import HALO, PART, ranged, with_halo
 
 
 def levels(side: Column, last_wins: bool = False) -> Column:
@@ -62,18 +63,22 @@ def frame_counts(streams: DataFrame, frames: DataFrame) -> DataFrame:
 def trailing_rate(frames: DataFrame, seconds: float = 1.0) -> DataFrame:
     """Frames of the market received within the ``seconds`` up to each frame, both ends included."""
     at = frames.where(F.col("received_at").isNotNull()).select("row_id", "market_id", F.unix_micros("received_at").alias("us"))
-    counted = at.groupBy("market_id", "us").agg(F.count("*").alias("n"))
-    back = Window.partitionBy("market_id").orderBy("us").rangeBetween(-int(seconds * 1_000_000), 0)
-    return at.join(counted.withColumn("frames", F.sum("n").over(back)).drop("n"), ["market_id", "us"]).select("row_id", "market_id", "frames")
+    width = int(seconds * 1_000_000)
+    counted = at.groupBy("market_id", "us").agg(F.count("*").alias("n")).withColumn("span", F.call_function("div", F.col("us"), F.lit(max(width, 1))))
+    # A frame looks back no further than one span, so that each span and the one before it are a window of their own.
+    both = counted.select("market_id", "us", "n", (F.col("span")).alias("own"), F.explode(F.array("span", F.col("span") + 1)).alias("span"))
+    back = Window.partitionBy("market_id", "span").orderBy("us").rangeBetween(-width, 0)
+    rates = both.withColumn("frames", F.sum("n").over(back)).where("span = own").select("market_id", "us", "frames")
+    same = F.col("a.market_id").eqNullSafe(F.col("r.market_id")) & (F.col("a.us") == F.col("r.us"))
+    return at.alias("a").join(rates.alias("r"), same).select("a.row_id", "a.market_id", "r.frames")
 
 
 def changes(frames: DataFrame) -> DataFrame:
     """Frames whose two best prices differ from those of the frame of the market received before (null differs from a price)."""
-    before = Window.partitionBy("market_id").orderBy("received_at", "row_id")
+    before = Window.partitionBy("market_id", PART).orderBy("received_at", "row_id")
     bid, ask = F.col("best_bid_price"), F.col("best_ask_price")
-    at = frames.select("row_id", "market_id", "received_at", "best_bid_price", "best_ask_price").select(
-        "*", F.lag(F.struct(bid, ask)).over(before).alias("was")
-    )
+    rows = ranged(frames.select("row_id", "market_id", "received_at", "best_bid_price", "best_ask_price"), "market_id", "received_at", "row_id")
+    at = with_halo(rows, "market_id", ["received_at", "row_id"], 1).withColumn("was", F.lag(F.struct(bid, ask)).over(before)).where(~F.col(HALO))
     same = F.col("was").isNotNull() & bid.eqNullSafe(F.col("was.best_bid_price")) & ask.eqNullSafe(F.col("was.best_ask_price"))
     return at.where(~same).select("row_id", "market_id", bid, ask)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinbook.operators.books import mid
+from twinbook.operators.ranged import HALO, PART, ranged, with_halo
 
 
 def updates(frames: DataFrame) -> DataFrame:
@@ -13,14 +14,18 @@ def updates(frames: DataFrame) -> DataFrame:
     at = frames.where(F.col("received_at").isNotNull()).groupBy("market_id", F.unix_micros("received_at").alias("us")).agg(
         F.max(F.struct(F.col("row_id"), mid().alias("mid"))).alias("last")
     )
-    before = Window.partitionBy("market_id").orderBy("us")
-    return at.select("market_id", "us", F.col("last.mid").alias("mid"), ((F.col("us") - F.lag("us").over(before)) / 1e6).alias("gap"))
+    rows = with_halo(ranged(at.select("market_id", "us", F.col("last.mid").alias("mid")), "market_id", "us"), "market_id", ["us"], 1)
+    before = Window.partitionBy("market_id", PART).orderBy("us")
+    return rows.withColumn("gap", (F.col("us") - F.lag("us").over(before)) / 1e6).where(~F.col(HALO)).select("market_id", "us", "mid", "gap")
 
 
 def rolling_median_gap(updated: DataFrame, remembered: int = 128, least: int = 5) -> DataFrame:
-    """Adds ``median_gap``: the median of the last ``remembered`` gaps, null below ``least`` of them."""
-    back = Window.partitionBy("market_id").orderBy("us").rowsBetween(-(remembered - 1), 0)
-    return updated.select("*", F.when(F.count("gap").over(back) >= least, F.percentile("gap", 0.5).over(back)).alias("median_gap"))
+    """Adds ``median_gap``, the median of the last ``remembered`` gaps, null below ``least`` of them, and ``was``, the one before."""
+    rows = with_halo(ranged(updated, "market_id", "us"), "market_id", ["us"], remembered + 1)
+    in_range = Window.partitionBy("market_id", PART).orderBy("us")
+    back = in_range.rowsBetween(-(remembered - 1), 0)
+    at = rows.withColumn("median_gap", F.when(F.count("gap").over(back) >= least, F.percentile("gap", 0.5).over(back)))
+    return at.withColumn("was", F.lag("median_gap").over(in_range)).where(~F.col(HALO)).select(*updated.columns, "median_gap", "was")
 
 
 def patience(median_gap: Column, factor: float = 4.0, least: float = 3.0, most: float = 30.0, unknown: float = 10.0) -> Column:
@@ -31,13 +36,15 @@ def patience(median_gap: Column, factor: float = 4.0, least: float = 3.0, most:
 def as_of(moments: DataFrame, prices: DataFrame, value: str = "mid") -> DataFrame:
     """Adds to moments (``market_id``, ``us``) the last ``value`` at or before them, else the market's first one.
 
-    One union and one running window by market; the price wins at equal times. Moments of markets without any price have null.
+    One union and a running window in ranges of a market's time, into which the last price before them is carried; the price wins at
+    equal times. Moments of markets without any price have null.
     """
     p = prices.where(F.col(value).isNotNull()).select("market_id", "us", F.lit(0).alias("k"), F.col(value).alias("v"))
     m = moments.select("market_id", "us", F.lit(1).alias("k"), F.lit(None).cast("double").alias("v"))
-    run = Window.partitionBy("market_id").orderBy("us", "k").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("market_id", PART).orderBy("us", "k").rowsBetween(Window.unboundedPreceding, 0)
     first = prices.where(F.col(value).isNotNull()).groupBy("market_id").agg(F.min_by(value, "us").alias("first"))
-    seen = p.unionByName(m).withColumn("seen", F.last("v", True).over(run)).where("k = 1")
+    rows = with_halo(ranged(p.unionByName(m), "market_id", "us", "k"), "market_id", ["us", "k"], 1, F.col("k") == 0)
+    seen = rows.withColumn("seen", F.last("v", True).over(run)).where("k = 1")
     return seen.join(first, "market_id", "left").select("market_id", "us", F.coalesce("seen", "first").alias(value))
 
 

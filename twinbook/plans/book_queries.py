@@ -124,7 +124,7 @@ def median_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def staleness(spark: SparkSession, sf: str) -> DataFrame:
-    at = G.rolling_median_gap(_updates(spark, sf)).withColumn("was", F.lag("median_gap").over(G.Window.partitionBy("market_id").orderBy("us")))
+    at = G.rolling_median_gap(_updates(spark, sf))
     return at.where("gap IS NOT NULL").select("market_id", "us", F.round("gap", 6).alias("gap"), F.round(G.patience(F.col("was")), 6).alias("patience"), (F.col("gap") > G.patience(F.col("was"))).alias("stale"))
 
 

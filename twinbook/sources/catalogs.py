@@ -40,6 +40,19 @@ def envelope_rows(payloads: DataFrame, column: str, *keys: str) -> DataFrame:
     return payloads.select(*[c for c in payloads.columns if c != column], F.explode(rows).alias("raw"))
 
 
+def single_rows(payloads: DataFrame, column: str, *keys: str) -> DataFrame:
+    """The one record that each JSON answer to a lookup holds: its ``market``, else the first row of its list, else the answer itself where it
+    has a ticker, slug or id. Column ``raw`` (variant); answers without one are left out."""
+    body = F.try_parse_json(column)
+    paths = [f"$.{k}" for k in keys] + [f"$.{a}.{b}" for a in keys for b in keys]
+    rows = F.coalesce(*[F.try_variant_get(body, p, "array<variant>") for p in paths], F.try_variant_get(body, "$", "array<variant>"))
+    named = F.coalesce(*[F.try_variant_get(body, f"$.{n}", "string") for n in ("ticker", "slug", "id")]).isNotNull()
+    inner = F.try_variant_get(body, "$.market", "variant")
+    whole = F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner)
+    raw = F.coalesce(whole, F.get(rows, F.lit(0)), F.when(named, body))
+    return payloads.select(*[c for c in payloads.columns if c != column], raw.alias("raw")).where("raw IS NOT NULL")
+
+
 def parse_k(rows: DataFrame) -> DataFrame:
     """The K venue's records (``raw``) as flat markets; records without a ticker are left out."""
     r = F.col("raw")

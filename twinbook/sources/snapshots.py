@@ -38,15 +38,24 @@ class SnapshotStore:
             stream.close()
         return f"{self.folder}/{name}/{version}"
 
+    def _replace(self, new, old) -> None:
+        """Renames a file over another in one step, so that a reader finds the old pointer or the new one."""
+        context = self.spark.sparkContext
+        fs = context._jvm.org.apache.hadoop.fs
+        options = context._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        options[0] = getattr(fs, "Options$Rename").OVERWRITE
+        fs.FileContext.getFileContext(new.toUri(), context._jsc.hadoopConfiguration()).rename(new, old, options)
+
     def _publish(self, name: str, df: DataFrame, at: datetime) -> str:
         version = stamp(at)
         df.write.parquet(f"{self.folder}/{name}/{version}")
-        fs, p = self._fs(f"{self.folder}/{name}/CURRENT")
-        out = fs.create(p, True)
+        fs, new = self._fs(f"{self.folder}/{name}/CURRENT.{version}")
+        out = fs.create(new, True)
         try:
             out.write(bytearray(version.encode()))
         finally:
             out.close()
+        self._replace(new, self._fs(f"{self.folder}/{name}/CURRENT")[1])
         return version
 
     def exclusions(self) -> DataFrame:

@@ -89,6 +89,11 @@ def stream_minutes(frames: DataFrame, grace_s: int = 10, cutoff_s: int = 300, re
     )
 
 
+def stream_dropped(frames: DataFrame, cutoff_s: int = 300) -> DataFrame:
+    """The frames that ``stream_minutes`` leaves out for being beyond the cut-off, for reporting: row, market, minute and lateness."""
+    return accepted_frames(frames, cutoff_s)[1].select("row_id", "market_id", "minute_s", "late_s")
+
+
 class BookProcessor(StatefulProcessor):
     """The last valid, uncrossed book of a market; emits it when a best price changes."""
 
