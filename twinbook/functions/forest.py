@@ -73,7 +73,7 @@ class Forests:
             feature[split], cut[split], child[split] = chosen, at, made + 2 * np.arange(len(split))
             live = count[node - begin] >= 2
             node, x = node[live] - begin, x[live]
-            node = child[node] + (x[np.arange(len(x)), feature[node]] > cut[node])
+            node = child.take(node) + (x.ravel().take(np.arange(len(x)) * f + feature.take(node)) > cut.take(node))
             begin, made = made, made + 2 * len(split)
             count = np.bincount(node - begin, minlength=2 * len(split))
             low, high = np.repeat(low[split], 2, 0), np.repeat(high[split], 2, 0)
@@ -90,11 +90,12 @@ class Forests:
         n = len(points)
         points = np.minimum(points, self.domain).astype(np.float32)
         node = (source[:, None] * self.trees + np.arange(self.trees)[None, :]).astype(np.int32).ravel()
-        row = np.repeat(np.arange(n, dtype=np.int32), self.trees)
+        flat, wide = points.ravel(), len(self.domain)
+        row = np.repeat(np.arange(n, dtype=np.int64) * wide, self.trees)
         length = np.zeros(n * self.trees, np.float32)
         where = np.arange(n * self.trees, dtype=np.int32)
         for _ in range(self.depth):
-            feature = self.feature[node]
+            feature = self.feature.take(node)
             live = feature >= 0
             if not live.all():
                 length[where[~live]] += self.rest[node[~live]]
@@ -102,6 +103,6 @@ class Forests:
             if not len(where):
                 break
             length[where] += 1
-            node = self.child[node] + (points[row, feature] > self.cut[node])
+            node = self.child.take(node) + (flat.take(row + feature) > self.cut.take(node))
         length[where] += self.rest[node]
         return 2.0 ** (-length.reshape(n, self.trees).mean(1) / (0.75 * self.depth))
