@@ -32,7 +32,7 @@ def test_against_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
-    for t in "k_markets p_markets book_frames book_streams pair_labels lineitem events documents".split():
+    for t in "k_markets p_markets book_frames book_streams feeds pair_labels lineitem events documents".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     ours = entry.queries()[name](spark, folder)
     theirs = con.sql(entry.oracle_sql()[name])
