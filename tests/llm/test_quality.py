@@ -75,7 +75,7 @@ def test_a_text_is_judged_by_all_of_it():
 
 
 def test_signals_abstain():
-    x = described(["It was over before we knew, and they said so. Who was it?", "- Harbor Cup\n- River Trophy\n- Copper Bowl", "x\t0.1\t0.2\ny\t0.3\t0.4", "█ □ � █ □ �", "x", "Harbor"])
+    x = described(["It was over before we knew, and they said so. Who was it?", "- Harbor Cup\n- River Trophy\n- Copper Bowl", "noon\t0.125\t0.250\nnight\t0.375\t0.500", "█ □ � █ □ �", "x", "Harbor"])
     assert weak_labels(x).tolist() == [0, 1, 2, 3, -1, -1]
 
 
