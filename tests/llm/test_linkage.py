@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from twinbook.llm.linkage import Vocabulary, _EDGE, alike, anchors, assign, assign_rounds, associations, close, frequent_words, heaviest, link_markets, read_markets, sorted_neighbours, with_records
+from twinbook.llm.linkage import Vocabulary, _EDGE, alike, anchors, assign, assign_rounds, associations, close, components, frequent_words, heaviest, link_markets, read_markets, sorted_neighbours, with_records
 from twinbook.llm.questions import read_question
 
 MARKET = "market_id string, name string, event_title string, description string, ends_day int, confidence string"
@@ -74,6 +74,49 @@ def test_components_are_assigned_exactly_and_large_ones_in_rounds(spark):
     assert {(r.k_id, r.p_id) for r in assign(same).collect()} == {("k", "p1"), ("k", "p2")}
 
 
+def test_results_do_not_depend_on_the_size_of_a_component(spark):
+    """700 times the three pairs of above, joined by a market that goes with one of each: 2,800 pairs in one component, the largest total is the same."""
+    rows = [(f"k{c}-{i}", f"p{c}-{j}", x) for c in range(700) for i, j, x in ((0, 0, 0.9), (0, 1, 0.8), (1, 0, 0.8))] + [("z-2", f"p{c}-0", 0.7) for c in range(700)]
+    named = lambda i: ([int(i[1:-2] or 700) * 10 + int(i[-1])], [], [], [], False, [], [])
+    edges = spark.createDataFrame([(k, p, x, *named(k), *named(p)) for k, p, x in rows], _EDGE)
+    assert {(r.k_id, r.p_id) for r in assign(edges).collect()} == {(f"k{c}-{i}", f"p{c}-{1 - i}") for c in range(700) for i in (0, 1)}
+
+
+def test_one_question_listed_many_times_comes_out_in_all_pairs(spark):
+    blank = ([], [], [], [], False, [], [])
+    edges = spark.createDataFrame([(f"k{i}", f"p{j}", 0.9, *blank, *blank) for i in range(50) for j in range(50)], _EDGE)
+    assert {(r.k_id, r.p_id) for r in assign(edges).collect()} == {(f"k{i}", f"p{j}") for i in range(50) for j in range(50)}
+
+
+def test_heaviest_of_few_weights_among_many():
+    """Rows of a matrix and their weights alone give the same; ties, equal weights and rows beyond the columns have the largest total, too."""
+    rnd = random.Random(6)
+    for n, m in [(6, 3), (3, 6), (6, 6)]:
+        for values in ([0.7], [0.7, 0.8], [0.650001, 0.650002, 0.999999]):
+            for _ in range(20):
+                rows = [{j: rnd.choice(values) for j in range(m) if rnd.random() < 0.5} for _ in range(n)]
+                w = np.array([[r.get(j, 0.0) for j in range(m)] for r in rows])
+                got = heaviest(rows)
+                assert got == heaviest(w) and len({a for a, _ in got}) == len({b for _, b in got}) == len(got)
+                small, large = (w, m) if n <= m else (w.T, n)
+                best = max(sum(small[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(large), min(n, m)))
+                assert abs(sum(w[a, b] for a, b in got) - best) < 1e-9
+    ring = [{i: 0.8, (i + 1) % 3000: 0.9} for i in range(3000)]
+    assert heaviest(ring) == [(i, (i + 1) % 3000) for i in range(3000)]
+
+
+def test_components_of_long_chains(spark):
+    """Chains of 300 pairs with ids in order and in none, and single pairs: every market has the smallest K id of its own."""
+    rnd = random.Random(7)
+    rows, want = [], {}
+    for c, order in enumerate((range(150), rnd.sample(range(150), 150), reversed(range(150)), [0])):
+        ids = [f"k{c}-{i:03d}" for i in order]
+        rows += [(k, f"p{c}-{i + d}") for i, k in enumerate(ids) for d in (0, 1)]
+        want |= {k: f"k{c}-000" for k in ids}
+    got = components(spark.createDataFrame(rows, "k_id string, p_id string")).collect()
+    assert len(got) == len(rows) and {r.k_id: r.component for r in got} == want and {(r.k_id, r.p_id) for r in got} == set(rows)
+
+
 PLACES = [f"{a}{b}{c}" for a in ("vi", "ko", "ta", "zu", "re") for b in ("thi", "ne", "ro", "bu") for c in ("wick", "burg", "mere")]
 
 

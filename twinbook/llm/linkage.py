@@ -7,16 +7,18 @@ anchors: pairs of markets that are alone, each in its venue, with their rare wor
 Records are sorted by several composite keys of their rarest words (all keys in one distributed sort: ranges, then
 positions, then blocks of positions that overlap by a window) and compared within a sliding window; what is left is judged
 by weighted similarities of words, dates and years, and assigned one to one with the largest total confidence, component by
-component, where markets of a venue that ask the same question count as one. No key's group is ever gathered: a block holds
-``BLOCK`` positions whatever the keys are.
+component and exactly whatever its size, where markets of a venue that ask the same question count as one. No key's group is
+ever gathered: a block holds ``BLOCK`` positions whatever the keys are. A component's pairs are held by one task.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,8 @@ from twinbook.llm.questions import read_question
 from twinbook.session import cut_lineage
 
 BLOCK = 4_000
-#: A component of more pairs is assigned in rounds of mutually best pairs instead of exactly.
-LARGE = 2_000
+#: Rows of a batch of assigned pairs.
+BATCH = 10_000
 #: How much less confidence a second counterpart may have.
 SAME = 0.1
 #: Shares of all markets from which a word's partners are counted, from which it is no name, and from which it says nothing.
@@ -356,47 +358,67 @@ _EDGE = "k_id string, p_id string, confidence double, " + ", ".join(f"{s}_{c} {_
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``component``: the smallest K id that they are connected to. Labels travel along pairs until none changes."""
-    at = cut_lineage(pairs.withColumn("component", F.col("k_id")))
+    """``pairs`` with ``component``: the smallest K id that they are connected to. Labels travel along pairs until none changes, after
+    some rounds also from market to market of a label and along labels, so that a long chain takes few rounds."""
+    pairs = cut_lineage(pairs)
+    at, rounds = pairs.select("k_id", "p_id", F.col("k_id").alias("component")), 0
     while True:
         by_p = at.groupBy("p_id").agg(F.min("component").alias("x"))
-        by_k = at.join(by_p, "p_id").groupBy("k_id").agg(F.min("x").alias("y"))
-        moved = cut_lineage(at.join(by_k, "k_id").withColumn("changed", F.col("y") != F.col("component")).drop("component").withColumnRenamed("y", "component"))
-        changed = moved.where("changed").isEmpty()
-        at = moved.drop("changed")
-        if changed:
-            return at
-
-
-def heaviest(weights: np.ndarray) -> list[tuple[int, int]]:
-    """One-to-one pairs (row, column) of the largest total of a matrix of weights, none of weight 0: shortest augmenting paths."""
-    flip = weights.shape[0] > weights.shape[1]
-    w = weights.T if flip else weights
-    n, m = w.shape
-    cost = np.concatenate([w.max(initial=0.0) - w, np.full((n, n), w.max(initial=0.0))], axis=1)  # a row may stay alone
-    m += n
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, way, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        by_k = at.join(by_p, "p_id").groupBy("k_id").agg(F.min("component").alias("c"), F.min("x").alias("y"))
+        if rounds >= 3:
+            own = cut_lineage(by_k.join(by_k.groupBy("c").agg(F.min("y").alias("z")), "c").select("k_id", "c", F.col("z").alias("y")))
+            by_k = own.join(own.select(F.col("k_id").alias("y"), F.col("y").alias("z")), "y").select("k_id", "c", F.col("z").alias("y"))
+        by_k = cut_lineage(by_k)
+        if by_k.where("c <> y").isEmpty():
+            return pairs.join(by_k.select("k_id", F.col("y").alias("component")), "k_id")
+        at, rounds = pairs.select("k_id", "p_id").join(by_k.select("k_id", F.col("y").alias("component")), "k_id"), rounds + 1
+
+
+def heaviest(weights: np.ndarray | list[dict[int, float]]) -> list[tuple[int, int]]:
+    """One-to-one pairs (row, column) of the largest total, none of weight 0; ``weights`` of six decimals: a matrix, or {column: weight}
+    of every row.
+
+    Shortest augmenting paths from row to row, each over the weights that it meets alone and in whole numbers, so that totals are
+    compared exactly. ``gain`` and ``price`` are the duals: gain + price >= weight, and equal for pairs. In a tie the rows before
+    keep their columns, and a row takes the first free column.
+    """
+    rows = [{j: c for j, x in (r.items() if isinstance(r, dict) else enumerate(r)) if (c := round(float(x) * 1_000_000)) > 0} for r in weights]
+    gain, price, owner, column = [0] * len(rows), {}, {}, {}
+    for start, row in enumerate(rows):
+        gain[start] = max((x - price.get(j, 0) for j, x in row.items()), default=0)
+        if gain[start] <= 0:
+            gain[start] = 0
+            continue
+        least, way, reached, passed, heap = {}, {}, {start: 0}, set(), []
+        i, best, alone, end = start, gain[start], start, None  # the path ends with a row that stays alone, or with a free column
         while True:
-            done[j0] = True
-            slack = cost[owner[j0] - 1] - u[owner[j0]] - v[1:]
-            better = ~done[1:] & (slack < least[1:])
-            least[1:][better], way[1:][better] = slack[better], j0
-            j1 = 1 + int(np.argmin(np.where(done[1:], np.inf, least[1:])))
-            delta = least[j1]
-            u[owner[done]] += delta
-            v[done] -= delta
-            least[~done] -= delta
-            j0 = j1
-            if owner[j0] == 0:
+            if reached[i] + gain[i] < best:
+                best, alone = reached[i] + gain[i], i
+            for j, x in rows[i].items():
+                d = reached[i] + gain[i] - x + price.get(j, 0)
+                if d < best and d < least.get(j, best) and j not in passed:
+                    least[j], way[j] = d, i
+                    heapq.heappush(heap, (d, j in owner, j))
+            while heap and (heap[0][-1] in passed or heap[0][0] > least[heap[0][-1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= best:
+                break
+            d, _, j = heapq.heappop(heap)
+            if j not in owner:
+                best, end = d, j
                 break
-        while j0:
-            owner[j0] = owner[way[j0]]
-            j0 = way[j0]
-    pairs = [(owner[j] - 1, j - 1) for j in range(1, m - n + 1) if owner[j] and w[owner[j] - 1, j - 1] > 0]
-    return sorted((b, a) if flip else (a, b) for a, b in pairs)
+            passed.add(j)
+            i = owner[j]
+            reached[i] = d
+        for i, d in reached.items():
+            gain[i] -= best - d
+        for j in passed:
+            price[j] = price.get(j, 0) + best - least[j]
+        j = column.pop(alone, None) if end is None else end
+        while j is not None:
+            i = owner[j] = way[j]
+            j, column[i] = column.get(i), j
+    return sorted(column.items())
 
 
 def _classes(ids: list[str], sides: dict, partners: dict[str, dict[str, float]]) -> dict[str, str]:
@@ -406,7 +428,7 @@ def _classes(ids: list[str], sides: dict, partners: dict[str, dict[str, float]])
 
     def top(i: str) -> str:
         while root[i] != i:
-            i = root[i]
+            root[i] = i = root[root[i]]
         return i
 
     members: dict[str, list[str]] = {}
@@ -435,51 +457,57 @@ def _classes(ids: list[str], sides: dict, partners: dict[str, dict[str, float]])
 
 
 class _Light:
-    def __init__(self, values):
+    __slots__ = ("id", *_LIGHT)
+
+    def __init__(self, id: str, values):
+        self.id = id
         for c, v in zip(_LIGHT, values):
             setattr(self, c, v)
 
 
-def solve(edges: list[tuple]) -> list[tuple[str, str, float]]:
-    """All pairs of members of the classes of one component that are assigned to each other; ``edges``: rows of ``_EDGE``."""
-    if len(edges) == 1:
-        return [edges[0][:3]]
-    edges = sorted(edges, key=lambda e: e[:2])
-    n = len(_LIGHT)
-    sides, partners = ({}, {}), ({}, {})
-    for e in edges:
-        for s in (0, 1):
-            sides[s].setdefault(e[s], _Light(e[3 + s * n : 3 + (s + 1) * n]))
-            partners[s].setdefault(e[s], {})[e[1 - s]] = e[2]
-    of = [_classes(list(sides[s]), sides[s], partners[s]) for s in (0, 1)]
+def solve(partners: tuple[dict, dict], sides: tuple[dict, dict]) -> Iterator[tuple[str, str, float]]:
+    """All pairs of members of the classes of one component that are assigned to each other. ``partners``: {id: {id of the other venue:
+    confidence}} of K and of P, ``sides``: what ``_Light`` knows of every id."""
+    first = list(dict.fromkeys(p for k in sorted(partners[0]) for p in sorted(partners[0][k])))
+    of = [_classes(ids, sides[s], partners[s]) for s, ids in enumerate((sorted(partners[0]), first))]
     at = [{h: i for i, h in enumerate(sorted(set(of[s].values())))} for s in (0, 1)]
-    weights = np.zeros((len(at[0]), len(at[1])))
-    sure, members = {}, ({}, {})
-    for k, p, c in (e[:3] for e in edges):
-        sure[k, p] = c
-        i, j = at[0][of[0][k]], at[1][of[1][p]]
-        weights[i, j] = max(weights[i, j], c)
+    weights: list[dict[int, float]] = [{} for _ in at[0]]
+    members: tuple[dict, dict] = ({}, {})
+    for k, found in partners[0].items():
+        row = weights[at[0][of[0][k]]]
+        for p, c in found.items():
+            j = at[1][of[1][p]]
+            row[j] = max(row.get(j, 0.0), c)
     for s in (0, 1):
         for i, h in of[s].items():
             members[s].setdefault(at[s][h], []).append(i)
-    return [(k, p, sure.get((k, p), weights[i, j])) for i, j in heaviest(weights) for k in members[0][i] for p in members[1][j]]
+    for i, j in heaviest([dict(sorted(row.items())) for row in weights]):
+        for k in members[0][i]:
+            for p in members[1][j]:
+                yield k, p, partners[0][k].get(p, weights[i][j])
 
 
 def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Components one after the other; rows come in order of their component."""
-    columns = ["component", *[f.split()[0] for f in _EDGE.split(", ")]]
-    current, edges, done = None, [], []
-    for b in batches:
-        for row in b[columns].itertuples(index=False, name=None):
-            if row[0] != current and edges:
-                done += solve(edges)
-                edges = []
-            current = row[0]
-            edges.append(row[1:])
+    """Components one after the other; rows come in order of their component. Of one, its pairs and what is known of every market are held once."""
+    columns, n = ["component", *[f.split()[0] for f in _EDGE.split(", ")]], len(_LIGHT)
+
+    def components_of_rows() -> Iterator[tuple[str, str, float]]:
+        current, partners, sides = None, ({}, {}), ({}, {})
+        for b in batches:
+            for component, k, p, c, *known in b[columns].itertuples(index=False, name=None):
+                if component != current:
+                    yield from solve(partners, sides)
+                    current, partners, sides = component, ({}, {}), ({}, {})
+                for s, i in enumerate((k, p)):
+                    if i not in sides[s]:
+                        sides[s][i] = _Light(i, known[s * n : (s + 1) * n])
+                k, p = sides[0][k].id, sides[1][p].id
+                partners[0].setdefault(k, {})[p] = partners[1].setdefault(p, {})[k] = c
+        yield from solve(partners, sides)
+
+    rows = components_of_rows()
+    while done := list(islice(rows, BATCH)):
         yield pd.DataFrame(done, columns=["k_id", "p_id", "confidence"])
-        done = []
-    if edges:
-        yield pd.DataFrame(solve(edges), columns=["k_id", "p_id", "confidence"])
 
 
 def assign_rounds(pairs: DataFrame) -> DataFrame:
@@ -496,14 +524,17 @@ def assign_rounds(pairs: DataFrame) -> DataFrame:
     return left if done is None else done
 
 
-def assign(edges: DataFrame, large: int = LARGE) -> DataFrame:
-    """Pairs of the assignment with the largest total confidence, exactly for every component of at most ``large`` pairs."""
+def assign(edges: DataFrame, large: int | None = None) -> DataFrame:
+    """Pairs of the assignment with the largest total confidence, exactly for every component. Only a caller who names ``large`` gets
+    components of more pairs than that in rounds of mutually best pairs instead."""
     at = components(edges)
-    sizes = at.groupBy("component").agg(F.count("*").alias("size"))
-    sized = at.join(sizes, "component")
-    exact = sized.where(F.col("size") <= large).repartition("component").sortWithinPartitions("component").mapInPandas(_solved, "k_id string, p_id string, confidence double")
+    exact = lambda df: df.repartition("component").sortWithinPartitions("component").mapInPandas(_solved, "k_id string, p_id string, confidence double")
+    if large is None:
+        return exact(at)
+    sized = at.join(at.groupBy("component").agg(F.count("*").alias("size")), "component")
     beyond = cut_lineage(sized.where(F.col("size") > large).select("k_id", "p_id", "confidence"))
-    return exact if beyond.isEmpty() else exact.unionByName(assign_rounds(beyond))
+    few = exact(sized.where(F.col("size") <= large))
+    return few if beyond.isEmpty() else few.unionByName(assign_rounds(beyond))
 
 
 def link_markets(k_markets: DataFrame, p_markets: DataFrame, window: int = 24, least: float = 0.65, ends_day: str = "ends_day") -> DataFrame:
